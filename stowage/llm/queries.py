@@ -23,6 +23,27 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents", "doc_id", "text"), 24)
 
 
+def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stowage.llm.bpe import Vocabulary, round_trip
+
+    vocabulary = Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.langid import identify
+
+    return identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.quality import assess
+
+    return assess(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
