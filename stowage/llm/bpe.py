@@ -25,9 +25,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,13 +40,32 @@ from stowage.llm.batches import map_batches
 #: White space as the patterns mean it (the Unicode property); some engines' own class has more characters.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Chunks and pieces whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _NEVER = 1 << 62
 _odd_space = re.compile(r"\s ")
 _next_space = re.compile(r" \s")
 _lone_space = re.compile(r"(?<=\S) (?=\S)")
 
 
+class Remembered(dict):
+    """A function's values for short strings, in two generations of ``limit`` strings: what is used again outlives the rest."""
+
+    def __init__(self, of: Callable[[str], tuple[int, ...]], limit: int):
+        super().__init__()
+        self.of, self.limit, self.before = of, limit, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        found = self.before.get(key)
+        if found is None:
+            found = self.of(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 @dataclass
 class Vocabulary:
     """Tokens by rank and the pattern that splits texts; small, so it travels with the tasks."""
@@ -72,15 +93,21 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.tokens = vocabulary.tokens
         self.ranks = {token: rank for rank, token in enumerate(self.tokens)}
-        self.longest = max(map(len, self.tokens))
+        self.lengths = list(map(len, self.tokens))
+        self.longest = max(self.lengths)
+        # Finds all tokens that end at a byte; a text's bytes stand for characters.
+        self.automaton = ahocorasick.Automaton()
+        for rank, token in enumerate(self.tokens):
+            self.automaton.add_word(token.decode("latin-1"), rank)
+        self.automaton.make_automaton()
         self.split = regex.compile(vocabulary.pattern.replace("[^\\s", f"[^{WHITE}").replace("\\S", f"[^{WHITE}]").replace("\\s", f"[{WHITE}]")).findall
         self.ids = list(range(len(self.tokens)))  # one object for each id, however often it is used
         self.merged: dict[tuple[int, int], int] = {}
         self.left, self.right = list(self.ids), list(self.ids)
         self._find_merges()
         self._compatible: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks = _Remembered(self)
+        self.pieces = Remembered(self._piece, REMEMBERED // 2)
+        self.chunks = Remembered(self._chunk, REMEMBERED)
         self.decimal = [str(k) for k in self.ids]
 
     def _find_merges(self) -> None:
@@ -123,23 +150,22 @@ class Encoder:
                 return True
             x, x_gone = self.right[x], x
 
-    def extend(self, data: bytes, last: list[int], start: int = 0) -> None:
+    def extend(self, data: bytes, last: list[int]) -> None:
         """Fills ``last``, the last token of each prefix, for the prefixes of more than ``len(last)`` bytes."""
-        ranks, longest, known = self.ranks, self.longest, self._compatible
-        for end in range(len(last) + 1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ranks.get(data[begin:end])
-                if token is None:
-                    continue
-                if begin == 0:
-                    break
+        known, lengths, done = self._compatible, self.lengths, len(last)
+        start = max(0, done - self.longest)
+        for at, token in self.automaton.iter(data.decode("latin-1"), start):
+            if at != len(last):  # its last token is known already
+                continue
+            begin = at + 1 - lengths[token]
+            if begin:
                 before = last[begin - 1]
                 fits = known.get((before, token))
-                if fits if fits is not None else self.compatible(before, token):
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+                if not (self.compatible(before, token) if fits is None else fits):
+                    continue
             last.append(token)
+        if len(last) < len(data):
+            raise ValueError("the vocabulary lacks a byte")
 
     def trace(self, last: list[int]) -> tuple[int, ...]:
         """The encoding of the whole from the last tokens of its prefixes."""
@@ -150,22 +176,18 @@ class Encoder:
             at -= len(self.tokens[token])
         return tuple(out[::-1])
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        found = self.pieces.get(text)
-        if found is None:
-            data = text.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(data)
-            if whole is not None:
-                found = (self.ids[whole],)
-            else:
-                last: list[int] = []
-                self.extend(data, last)
-                found = self.trace(last)
-            if len(text) <= 64:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[text] = found
-        return found
+    def _piece(self, text: str) -> tuple[int, ...]:
+        data = text.encode("utf-8", "surrogatepass")
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return (self.ids[whole],)
+        last: list[int] = []
+        self.extend(data, last)
+        return self.trace(last)
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of what follows a lone space, up to the next one."""
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + chunk))))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text.
@@ -180,7 +202,7 @@ class Encoder:
             parts = _lone_space.split(text)
         else:
             parts = text.split(" ")
-        first = chain.from_iterable(map(self.piece, self.split(parts[0])))
+        first = chain.from_iterable(map(self.pieces.__getitem__, self.split(parts[0])))
         return [*first, *chain.from_iterable(map(self.chunks.__getitem__, parts[1:]))]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -190,23 +212,6 @@ class Encoder:
         return ",".join(map(self.decimal.__getitem__, ids))
 
 
-class _Remembered(dict):
-    """Ids of what follows a lone space, up to the next one."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        encoder = self.encoder
-        found = tuple(chain.from_iterable(map(encoder.piece, encoder.split(" " + chunk))))
-        if len(chunk) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = found
-        return found
-
-
 class PrefixTable:
     """A piece of bytes that can grow and be edited, with its encoding at hand after each change.
 

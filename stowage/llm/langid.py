@@ -30,7 +30,7 @@ DIMS = 1 << 13
 #: Labelled rows a language's centroids are fitted on, at most, and centroids of a language.
 SAMPLE, CENTROIDS = 500, 4
 #: A text is rejected below this share of the smallest cosine among its language's own sample.
-SLACK = 0.5
+SLACK = 0.25
 _SPACE = np.uint32(32)
 _letters: np.ndarray | None = None
 
