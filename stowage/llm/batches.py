@@ -88,19 +88,35 @@ def forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-class Codes(dict):
-    """Stable 64-bit codes of words, remembered up to ``limit`` words."""
+class Remembered(dict):
+    """A function's values for short strings, in two generations of ``limit`` strings: what is used again outlives the rest."""
 
-    def __init__(self, limit: int = 250_000, of: Callable[[str], int] | None = None):
+    def __init__(self, of: Callable, limit: int):
         super().__init__()
-        self.limit = limit
-        self.of = of or (lambda word: xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        code = self[word] = self.of(word)
-        return code
+        self.of, self.limit, self.before = of, limit, {}
+
+    def __missing__(self, key: str):
+        found = self.before.get(key)
+        if found is None:
+            found = self.of(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+def code(word: str) -> int:
+    """A stable 64-bit code of a word."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+class Codes(Remembered):
+    """Codes of words as an array."""
+
+    def __init__(self, of: Callable[[str], int] = code, limit: int = 400_000):
+        super().__init__(of, limit)
 
     def array(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

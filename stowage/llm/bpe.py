@@ -25,7 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -35,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.batches import map_batches
+from stowage.llm.batches import Remembered, map_batches
 
 #: White space as the patterns mean it (the Unicode property); some engines' own class has more characters.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -47,25 +46,6 @@ _next_space = re.compile(r" \s")
 _lone_space = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Remembered(dict):
-    """A function's values for short strings, in two generations of ``limit`` strings: what is used again outlives the rest."""
-
-    def __init__(self, of: Callable[[str], tuple[int, ...]], limit: int):
-        super().__init__()
-        self.of, self.limit, self.before = of, limit, {}
-
-    def __missing__(self, key: str) -> tuple[int, ...]:
-        found = self.before.get(key)
-        if found is None:
-            found = self.of(key)
-        if len(key) <= 64:
-            if len(self) >= self.limit:
-                self.before = dict(self)
-                self.clear()
-            self[key] = found
-        return found
-
-
 @dataclass
 class Vocabulary:
     """Tokens by rank and the pattern that splits texts; small, so it travels with the tasks."""
