@@ -16,12 +16,13 @@ even that is smaller than the language's own ``reach`` allows, it is rejected.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stowage.llm.batches import learns_from, map_batches
@@ -29,6 +30,8 @@ from stowage.llm.batches import learns_from, map_batches
 DIMS = 1 << 13
 #: Labelled rows a language's centroids are fitted on, at most, and centroids of a language.
 SAMPLE, CENTROIDS = 500, 4
+#: Languages told apart at most; of more, the ones with most rows.
+LANGUAGES = 1000
 #: A text is rejected below this share of the smallest cosine among its language's own sample.
 SLACK = 0.25
 _SPACE = np.uint32(32)
@@ -97,21 +100,27 @@ def _centroids(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """A model of rows (doc_id, text, lang); ``sample`` rows of each language are used, spread by a hash of doc_id."""
     rows = labelled.where(F.col("lang").isNotNull())
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return None
+    # The share of its rows that gives a language about half as many again as the sample; the rest goes on the driver.
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(math.ceil((1 << 30) * min(1.0, 1.5 * sample / r.n))))])
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).select(F.xxhash64("doc_id").alias("order"), "text", "lang")
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
-        for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
+        for order, text, lang in zip(batch.column("order"), batch.column("text"), batch.column("lang"), strict=True):
             counts = trigram_counts(text.as_py())
             if counts is not None:
                 at = np.flatnonzero(counts)
-                out.append((lang.as_py(), at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["lang", "at", "counts"]) if out else None
-
-    # As many rows as the sample allows, so their vectors may go to the driver.
-    chosen = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])
-    found = sorted(map(tuple, map_batches(chosen, features, "lang string, at binary, counts binary").collect()))
+                out.append((lang.as_py(), order.as_py(), at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["lang", "order", "at", "counts"]) if out else None
+
+    found, taken = [], defaultdict(int)
+    for lang, _, at, n in sorted(map(tuple, map_batches(chosen, features, "lang string, order long, at binary, counts binary").distinct().collect())):
+        taken[lang] += 1
+        if taken[lang] <= sample:
+            found.append((lang, at, n))
     if not found:
         return None
     counts = np.zeros((len(found), DIMS), np.float32)

@@ -38,6 +38,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.pii import default_model, detect
+
+    return detect(read(spark, sf_dir, "documents", "doc_id", "text"), default_model())
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm.langid import identify
 
