@@ -32,6 +32,12 @@ def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.ngram_join import similar
+
+    return similar(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm.templates import contaminated
 
