@@ -50,6 +50,16 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(read(spark, sf_dir, "documents", "doc_id", "text"), default_model())
 
 
+def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stowage.llm.binary_records import binary_output
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    return binary_output(read(spark, sf_dir, "documents", "doc_id", "text"), definition)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm.langid import identify
 
