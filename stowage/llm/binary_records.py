@@ -70,6 +70,10 @@ def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if there else None, np.frombuffer(payload, f"<u{width}", offset=_PAYLOAD.size).astype("<u4")
 
 
+def index_entry(at: int, ids_before: int) -> bytes:
+    return _ENTRY.pack(at, ids_before)
+
+
 class Damaged(ValueError):
     """A record whose checksum or length is wrong."""
 
@@ -241,7 +245,7 @@ def write(docs: DataFrame, definition: str, folder: str, end_id: int, files: int
                     for doc_id, ids in zip(batch.column("doc_id").to_pylist(), use.encode(batch.column("text").to_pylist()), strict=True):
                         data = framed(payload_of(doc_id, np.concatenate((ids, end))))
                         file.write(data)
-                        index.write(_ENTRY.pack(at, count))
+                        index.write(index_entry(at, count))
                         at, records, count = at + len(data), records + 1, count + len(ids) + 1
         finally:
             for x in (file, index):
