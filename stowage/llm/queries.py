@@ -17,6 +17,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from stowage.llm.multiindex import search
+
+    return search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm.sharding import shard_documents
 
