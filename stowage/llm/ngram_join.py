@@ -241,7 +241,8 @@ def similar(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall
         out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "node", "copies", "cells")), pa.array([s.tobytes() for s in found], pa.binary())], ["root", "node", "copies", "cells", "grams"])
         return out.filter(keep)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node")
+    # Always by a shuffle: what is placed grows with the documents, so it is no side to broadcast.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed.hint("merge"), "node")
     kind = placed.schema["cells"].dataType.simpleString()
     with_sets = map_batches(texts.select("root", "node", "copies", "cells", "key", "text"), sets, f"root long, node long, copies long, cells {kind}, grams binary")
     in_cells = with_sets.select("root", "node", "copies", "grams", F.explode("cells").alias("cell")).select("root", "node", "copies", "grams", "cell.*")
