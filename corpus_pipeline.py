@@ -1,8 +1,64 @@
-"""A corpus pipeline of stages over documents."""
+"""A training corpus from documents: five stages of the subpackage llm.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
+is written as Parquet and read again as the next one's ``docs``. All but the
+last keep the columns of ``documents``.
+
+No SQL can express the stages, so ``ORACLE_SQL`` is None and the tests hold
+``run`` against brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from stowage.llm import langid, ngram_join, pii, templates
+from stowage.llm.batches import read, stored
+from stowage.llm.bpe import Vocabulary, encode_documents
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that language identification rejects; gives those without a language the one found."""
+    return langid.accepted(docs, langid.fit(docs.select("doc_id", "text", "lang")))
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a benchmark item occurs."""
+    return templates.decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in place of each piece of personal data."""
+    return pii.redact(docs, pii.default_model())
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the texts: doc_id, lang, source, ids."""
+    vocabulary = Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_documents(docs, vocabulary, ("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_copies", join_near_copies),
+    ("benchmark", drop_benchmark),
+    ("personal_data", redact_personal_data),
+    ("encode", encode_bytes),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``."""
+    docs = read(spark, sf_dir, "documents", *COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

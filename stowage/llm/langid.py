@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,22 +137,41 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     return model
 
 
+def nearest(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of each text the language, the cosine to its nearest centroid, and whether it is rejected."""
+    n = len(texts)
+    lang, score, rejected = ["und"] * n, np.zeros(n), np.ones(n, bool)
+    counts = [trigram_counts(x) for x in texts] if model else []
+    at = [k for k, c in enumerate(counts) if c is not None]
+    if at:
+        cosines = model.cosines(np.stack([counts[k] for k in at]))
+        best = cosines.argmax(1)
+        score[at] = np.clip(cosines[np.arange(len(at)), best], 0, 1)
+        rejected[at] = score[at] < model.reach[best]
+        for k, b in zip(at, best, strict=True):
+            lang[k] = model.languages[b]
+    return lang, score, rejected
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not rejected, with ``lang`` filled in where it is null."""
+    at = docs.columns.index("lang")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang, _, rejected = nearest(batch.column("text").to_pylist(), model)
+        known = batch.column("lang")
+        filled = pc.coalesce(known, pa.array(lang, known.type))
+        return batch.set_column(at, "lang", filled).filter(pa.array(~rejected))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model | None, also: list[str] | None = None) -> DataFrame:
     """The columns ``also`` (doc_id) with lang_pred, score (the cosine) and rejected, for every row."""
     also = also or ["doc_id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = batch.num_rows
-        lang, score, rejected = ["und"] * n, np.zeros(n), np.ones(n, bool)
-        counts = [trigram_counts(x) for x in batch.column("text").to_pylist()] if model else []
-        at = [k for k, c in enumerate(counts) if c is not None]
-        if at:
-            cosines = model.cosines(np.stack([counts[k] for k in at]))
-            best = cosines.argmax(1)
-            score[at] = np.clip(cosines[np.arange(len(at)), best], 0, 1)
-            rejected[at] = score[at] < model.reach[best]
-            for k, b in zip(at, best, strict=True):
-                lang[k] = model.languages[b]
+        lang, score, rejected = nearest(batch.column("text").to_pylist(), model)
         columns = [batch.column(c) for c in also] + [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
         return pa.RecordBatch.from_arrays(columns, [*also, "lang_pred", "score", "rejected"])
 

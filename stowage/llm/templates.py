@@ -124,9 +124,10 @@ class Items:
             items.append(np.full(len(keep), k))
             places.append(keep)
             self.total.append(len(keep))
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        nothing = [np.zeros(0, np.int64)]
+        self.hash = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         order = np.argsort(self.hash, kind="stable")
-        self.hash, self.item, self.place = self.hash[order], np.concatenate(items)[order], np.concatenate(places)[order]
+        self.hash, self.item, self.place = self.hash[order], np.concatenate(items or nothing)[order], np.concatenate(places or nothing)[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.hash >> np.uint64(64 - _BITS)] = True
         #: Lengths below WIDTH that whole items have: their single window is as short.
