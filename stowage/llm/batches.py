@@ -33,7 +33,10 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``fn`` over Arrow batches of at most ``ROWS`` rows; narrow, no shuffle."""
 
+    owner = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 out = fn(batch.slice(at, ROWS))
@@ -88,12 +91,29 @@ def forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: What a worker remembers, by the operator's module; and the module that it works for.
+_remembered: list[tuple[str, Remembered]] = []
+_claimed = ""
+
+
+def claim(owner: str) -> None:
+    """Drops what other operators remember: workers outlive operators, and their memory is shared."""
+    global _claimed
+    if owner != _claimed:
+        for of, cache in _remembered:
+            if of != owner:
+                cache.clear()
+                cache.before = {}
+        _claimed = owner
+
+
 class Remembered(dict):
     """A function's values for short strings, in two generations of ``limit`` strings: what is used again outlives the rest."""
 
-    def __init__(self, of: Callable, limit: int):
+    def __init__(self, of: Callable, limit: int, owner: str):
         super().__init__()
         self.of, self.limit, self.before = of, limit, {}
+        _remembered.append((owner, self))
 
     def __missing__(self, key: str):
         found = self.before.get(key)
@@ -115,8 +135,8 @@ def code(word: str) -> int:
 class Codes(Remembered):
     """Codes of words as an array."""
 
-    def __init__(self, of: Callable[[str], int] = code, limit: int = 400_000):
-        super().__init__(of, limit)
+    def __init__(self, owner: str, of: Callable[[str], int] = code, limit: int = 250_000):
+        super().__init__(of, limit, owner)
 
     def array(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

@@ -217,11 +217,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
             out += [(c, q, reach, v.tobytes()) for c in found]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.binary()), strict=True)], ["chunk", "query_id", "reach", "q"])
 
-    # The heaps are the work here, so queries are dealt out evenly over the tasks.
+    # The heaps are the work here, so queries are dealt out over many tasks; few rows would else be merged into one.
     asking = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").distinct()
+    n_queries = asking.count()
+    asking = asking.repartition(max(1, -(-n_queries // max(64, n_queries // 10_000))), "query_id")
     visiting = stored(map_batches(asking, visits, "chunk long, query_id long, reach double, q binary"), "visits")
     blocks = (
-        visiting.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-visiting.select("query_id").distinct().count() // QUERIES)))))
+        visiting.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n_queries // QUERIES)))))
         .groupBy("chunk", "block").agg(F.collect_list(F.struct("query_id", "reach", "q")).alias("queries"))
     )
 

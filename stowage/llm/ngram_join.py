@@ -37,14 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stowage.llm.batches import Codes, map_batches, mixed, stored, windows, words
+from stowage.llm.batches import Codes, claim, map_batches, mixed, stored, windows, words
 
 GRAM, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 256
-#: Grams in a block of nodes; a cell has two blocks.
-BLOCK = 400_000
+#: Grams in a block of nodes, each node counting for as many more, which bounds the nodes too; a cell has two blocks.
+BLOCK, EACH = 400_000, 400
 #: Grams that so many nodes of a cell share are multiplied as a matrix, rarer ones pair by pair.
 DENSE = 12
-_codes = Codes()
+_codes = Codes(__name__)
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -160,6 +160,7 @@ def _products(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndar
 
 def _cell(table: pa.Table, threshold: float) -> pa.Table:
     """Links and a forest of links of a cell's nodes."""
+    claim("cells")
     rows = {(r["node"], r["side"]): r for r in table.select(["node", "side", "copies", "grams"]).to_pylist()}
     rows = sorted(rows.values(), key=lambda r: (r["side"], r["node"]))
     sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
@@ -206,7 +207,7 @@ def similar(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall
 
     # Sizes that differ by more than one step of the threshold can't be similar.
     members = stored(members.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int")), "members")
-    parts = members.groupBy("root", "step").agg(F.sum("n").alias("grams"))
+    parts = members.groupBy("root", "step").agg(F.sum(F.col("n") + EACH).alias("grams"))
     by_root = W.partitionBy("root")
     ahead = F.lead(F.struct("step", "grams")).over(by_root.orderBy("step"))
     behind = F.lag(F.struct("step", "grams")).over(by_root.orderBy("step"))

@@ -72,7 +72,7 @@ def _code(word: str) -> int:
 
 
 _PLACE = {k: np.uint64(xxhash.xxh64_intdigest(k) & int(_LOW)) for k in ("number", "name", "unit")}
-_codes = Codes(_code)
+_codes = Codes(__name__, _code)
 
 
 class Template:

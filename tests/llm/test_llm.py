@@ -230,7 +230,7 @@ def near_copies(n_bases=12, seed=4):
     return texts
 
 
-@pytest.mark.parametrize("block", [ngram_join.BLOCK, 300])
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 3000])
 def test_ngram_join_equals_brute_force(spark, block):
     """With the small block, groups are split over many cells."""
     texts = near_copies() + ["One two three.", "one, TWO three", "one two", ""]
