@@ -67,7 +67,8 @@ def assign(decided: DataFrame, inventory: DataFrame, policy: Policy) -> DataFram
     decided = checkpointed(decided.select("path", "want"))
     movers = decided.where(F.col("want").isNotNull()).select("path", "want")
     stays = decided.where(F.col("want").isNull()).select("path")
-    folders = inventory.where(F.coalesce(F.col("is_dir"), F.lit(False))).select("path")
+    is_dir = F.coalesce(F.col("is_dir"), F.lit(False))
+    folders = inventory.where(is_dir).select("path").union(inventory.where(~is_dir).select(F.explode(paths.ancestors(F.col("path"))))).distinct()
     rows = (
         movers.select(paths.parent(F.col("want")).alias("directory"), F.lit("mover").alias("role"), "path", "want")
         .unionByName(stays.select(paths.parent(F.col("path")).alias("directory"), F.lit("stays").alias("role"), "path", F.col("path").alias("want")))
@@ -221,7 +222,7 @@ def ordered(ops: list[tuple], before: list[tuple[int, int]]) -> list[tuple]:
             out.append(by_id[i])
             for j in after[i]:
                 count[j] -= 1
-                if count[j] == 0:
+                if count[j] == 0 and j in left:
                     heapq.heappush(ready, (rank[j], j))
         if left:
             # What is left waits in rings: the first move steps aside, so its place is free.
@@ -233,7 +234,7 @@ def ordered(ops: list[tuple], before: list[tuple[int, int]]) -> list[tuple]:
             left.discard(i)
             for j in after[i]:
                 count[j] -= 1
-                if count[j] == 0:
+                if count[j] == 0 and j in left:
                     heapq.heappush(ready, (rank[j], j))
     rmdirs = [o for o in out if o[1] == "rmdir"]
     return [o for o in out if o[1] != "rmdir"] + late + rmdirs
@@ -274,7 +275,9 @@ def apply_on_paper(inventory: DataFrame, ops: DataFrame) -> DataFrame:
     moved = whole.join(direct, "path", "left")
     gone = ops.where("op = 'rmdir'").select(F.col("source").alias("path"))
     new = ops.where("op = 'mkdir'").select(F.col("target").alias("path"), F.lit(True).alias("is_dir"))
-    after = moved.withColumn("path", F.coalesce("to", "path")).drop("to").join(gone, "path", "left_anti")
+    is_dir = F.coalesce(F.col("is_dir"), F.lit(False))
+    after = moved.withColumn("path", F.coalesce("to", "path")).drop("to")
+    after = after.where(~is_dir).unionByName(after.where(is_dir).join(gone, "path", "left_anti").select(*after.columns))
     return after.unionByName(new, allowMissingColumns=True).select(*whole.columns)
 
 

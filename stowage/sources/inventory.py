@@ -92,7 +92,7 @@ def sniff(head, path):
         out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
     table = F.create_map(*[F.lit(x) for pair in BY_EXTENSION.items() for x in pair])
     by_ext = F.element_at(table, F.lower(paths.ext(paths.name(path))))
-    text = F.decode(F.substring(head, 1, 8192), F.lit("ISO-8859-1"))
+    text = F.decode(F.substring(head, 1, 8192), "ISO-8859-1")
     printable = F.length(F.regexp_replace(text, r"[^\t\n\r\x20-\x7e\x80-\xff]", ""))
     return F.coalesce(out.otherwise(F.lit(None).cast("string")), by_ext, F.when((F.length(text) > 0) & (printable * 100 >= F.length(text) * 95), "text/plain").otherwise("application/octet-stream"))
 
