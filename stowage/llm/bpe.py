@@ -86,7 +86,7 @@ class Encoder:
         self.left, self.right = list(self.ids), list(self.ids)
         self._find_merges()
         self._compatible: dict[tuple[int, int], bool] = {}
-        self.pieces = Remembered(self._piece, REMEMBERED // 2, __name__)
+        self.pieces = Remembered(self._piece, REMEMBERED // 4, __name__)
         self.chunks = Remembered(self._chunk, REMEMBERED, __name__)
         self.decimal = [str(k) for k in self.ids]
 
