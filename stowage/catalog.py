@@ -940,3 +940,53 @@ def watched_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def poll_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     looks = event_stream(spark, sf_dir).select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("root"), F.col("event_id").alias("look"), F.floor(F.col("value") / 20).cast("string").alias("digest"), (F.col("event_type") == "error").alias("failed"))
     return watch.run_available(watch.polls(looks), *_sink(spark))
+
+
+# More of the journal and of sync
+
+
+@query(f"""with {OPS}, q as (select *, case when kind = 'move' and id % 3 = 0 then concat('.stowage-quarantine/', src) else dst end as d2, case when kind = 'copy' and id % 5 = 0 then concat('.stowage-quarantine/', src) else src end as s2 from ops where status = 'committed'),
+a as (select d2 as path, arg_max(s2, id) as original, max(id) as id from q where d2 like '.stowage-quarantine/%' group by 1), l as (select s2 as path, max(id) as left_at from q where s2 like '.stowage-quarantine/%' group by 1)
+select path, original, id from a left join l using (path) where left_at is null or left_at < id""")
+def journal_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aside = F.concat(F.lit(".stowage-quarantine/"), "src")
+    ops = ops_of(spark, sf_dir)
+    ops = ops.withColumn("dst", F.when((F.col("kind") == "move") & (F.col("id") % 3 == 0), aside).otherwise(F.col("dst"))).withColumn("src", F.when((F.col("kind") == "copy") & (F.col("id") % 5 == 0), aside).otherwise(F.col("src")))
+    return journal.quarantined(ops, paths.QUARANTINE)
+
+
+@query(f"with {_decided('all', True)}, unread as (select member, path from st where state in ('changed', 'unchanged') and member = 'b') select member, path from unread where (select count(*) from unread) > 0 and (member, path) in (select l.member, l.path from l join b using (member, path) where l.size = b.size)")
+def sync_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, listings, baseline = world(spark, sf_dir)
+    blind = F.col("member") == "b"
+    listings = listings.withColumn("mtime", F.when(~blind, F.col("mtime"))).withColumn("digest", F.when(~blind, F.col("digest")))
+    return sync.questions(members, listings, baseline)
+
+
+@query("""with h as (select concat('p', c_custkey % 300) as path, 'm' || (c_nationkey % 6) as origin from customer), m as (select 'm' || k as member, k % 4 = 0 as local, k % 2 as connection from range(6) r(k)),
+w as (select distinct path, m.member from (select distinct path from h) cross join m)
+select path, w.member, arg_min(origin, (case when o.local then 0 when o.connection = m.connection then 1 else 2 end, origin)) as origin from w join m on m.member = w.member join (select distinct * from h) h using (path) join m o on o.member = h.origin where origin <> w.member group by 1, 2""")
+def sync_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holders = table(spark, sf_dir, "customer").selectExpr("concat('p', c_custkey % 300) as path", "concat('m', c_nationkey % 6) as origin").distinct()
+    members = spark.range(6).selectExpr("concat('m', id) as member", "id % 4 = 0 as local", "id % 2 as connection")
+    return sync.routes(holders, members, holders.select("path").distinct().crossJoin(F.broadcast(members.select("member"))))
+
+
+@query("select p_brand as brand, arg_max('x/' || p_partkey, (p_size, 'x/' || p_partkey)) as keep from part group by 1")
+def dup_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").selectExpr("p_brand as brand", "concat('x/', p_partkey) as path", "p_size as size")
+    return views.chosen(rows, "brand", "biggest")
+
+
+@query(f"""with {GROUPED}, k as (select grp, path as keep from kept where kept), e as (select grp, count(*) as others, sum(size)::bigint as reclaim from kept where not kept group by 1) select 'same' as kind, keep, others, reclaim from e join k using (grp)""")
+def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = doc_files(spark, sf_dir)
+    none = spark.createDataFrame([], "sort string, leader string, path string, alike int, band string")
+    return views.scan_rows(duplicates.groups(files), none, files)
+
+
+@query("select distinct 'r' || user_id as root, epoch_us(timestamp '2024-01-01' + to_hours(k::int)) as ts from events, range(0, 25) r(k)")
+def sweep_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = table(spark, sf_dir, "events").select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("root")).distinct()
+    start = F.timestamp_seconds(F.lit(EPOCH))
+    return watch.sweeps(roots, start, F.timestamp_seconds(F.lit(EPOCH + 86400))).select("root", F.unix_micros("ts").alias("ts"))

@@ -157,3 +157,15 @@ def reset(ops: DataFrame) -> None:
     """Raises while operations are unfinished, since clearing would lose track of them."""
     if not incomplete(ops).isEmpty():
         raise ValueError("operations are unfinished")
+
+
+def quarantined(ops: DataFrame, root: str) -> DataFrame:
+    """path, original, id of files that were set aside and are still there by the journal."""
+    aside = ops.where((F.col("status") == "committed") & F.col("dst").startswith(root + "/")).groupBy(F.col("dst").alias("path")).agg(F.max_by("src", "id").alias("original"), F.max("id").alias("id"))
+    left = ops.where((F.col("status") == "committed") & F.col("src").startswith(root + "/")).groupBy(F.col("src").alias("path")).agg(F.max("id").alias("left_at"))
+    return aside.join(left, "path", "left").where("left_at is null or left_at < id").select("path", "original", "id")
+
+
+def discarded(ops: DataFrame, link: int) -> DataFrame:
+    """The rows that give up a link's unfinished operations, to be appended."""
+    return incomplete(ops).where(F.col("link") == link).withColumn("status", F.lit("abandoned"))

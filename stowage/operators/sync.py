@@ -182,3 +182,45 @@ def baseline_after(listings: DataFrame, decided: DataFrame) -> DataFrame:
     """What to remember after a run: everything held, except paths of which some part did not happen."""
     open_paths = decided.where(F.col("action").isin("wait", "conflict")).select("path").distinct()
     return apply_on_paper(listings, decided).join(open_paths, "path", "left_anti").where(usable(F.col("path"))).withColumn("present", F.lit(True))
+
+
+def questions(members: DataFrame, listings: DataFrame, baseline: DataFrame) -> DataFrame:
+    """member, path of files whose digest has to be read before their paths can be decided."""
+    return states(members, listings, baseline).where("state = 'question'").select("member", "path")
+
+
+def answered(listings: DataFrame, digests: DataFrame) -> DataFrame:
+    """The listings with digests (member, path, digest) that were read since."""
+    new = digests.select("member", "path", F.col("digest").alias("_read"))
+    return listings.join(new, ["member", "path"], "left").withColumn("digest", F.coalesce("digest", "_read")).drop("_read")
+
+
+def decide_reading(members: DataFrame, listings: DataFrame, baseline: DataFrame, mode: Mode, read, rounds: int = 8) -> DataFrame:
+    """As ``decide``, reading digests for as long as there are questions. ``read`` takes (member, path) rows and adds ``digest``."""
+    for _ in range(rounds):
+        asked = questions(members, listings, baseline)
+        if asked.isEmpty():
+            break
+        listings = answered(listings, read(asked))
+    return decide(members, listings, baseline, mode)
+
+
+def undone(acts: DataFrame, listings_before: DataFrame, listings_now: DataFrame) -> DataFrame:
+    """member, path, action (restore, remove) that takes a run back where what it delivered is unchanged; refused elsewhere."""
+    before = listings_before.select("member", "path", F.col("digest").alias("was"))
+    now = listings_now.select("member", "path", F.col("digest").alias("is"))
+    origin = listings_before.select(F.col("member").alias("origin"), "path", F.col("digest").alias("sent"))
+    rows = acts.where(F.col("action").isin("copy", "park", "remove")).join(before, ["member", "path"], "left").join(now, ["member", "path"], "left").join(origin, ["origin", "path"], "left")
+    unchanged = F.when(F.col("action") == "remove", F.col("is").isNull()).otherwise(F.coalesce(F.col("is") == F.col("sent"), F.lit(False)))
+    return rows.select("member", "path", F.when(~unchanged, "refused").when(F.col("was").isNull(), "remove").otherwise("restore").alias("action"))
+
+
+def routes(holders: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """path, member, origin: from whom each copy is best taken: a local holder, then one of the member's own connection, then the first.
+
+    Holders have path, origin; members have member, local, connection; wanted has path, member.
+    """
+    of = members.select(F.col("member").alias("origin"), F.col("local").alias("o_local"), F.col("connection").alias("o_connection"))
+    rows = wanted.join(members, "member").join(holders.join(of, "origin"), "path").where("origin <> member")
+    rank = F.struct(F.when(F.col("o_local"), 0).when(F.col("o_connection") == F.col("connection"), 1).otherwise(2).alias("rank"), F.col("origin").alias("origin"))
+    return rows.groupBy("path", "member").agg(F.min(rank)["origin"].alias("origin"))

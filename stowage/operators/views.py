@@ -127,3 +127,24 @@ def lately(rows: DataFrame, keys: list[str], at: str, window_s: float = 600.0) -
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.select(*keys, at).groupBy(*keys).applyInPandas(fold, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", head {kinds[at]}, n long")
+
+
+def scan_rows(exact: DataFrame, near: DataFrame, sizes: DataFrame) -> DataFrame:
+    """kind, keep, others, reclaim of a scan: groups of copies and clusters of near ones, most to gain first."""
+    kept = exact.where("kept").select("group", F.col("path").alias("keep"))
+    a = exact.where("not kept").groupBy("group").agg(F.count(F.lit(1)).alias("others"), F.sum("size").alias("reclaim")).join(kept, "group").select(F.lit("same").alias("kind"), "keep", "others", "reclaim")
+    size = sizes.select("path", "size")
+    b = near.join(size, "path").groupBy(F.col("leader").alias("keep"), "band").agg(F.count(F.lit(1)).alias("others"), F.sum("size").alias("reclaim")).select(F.concat(F.lit("like_"), "band").alias("kind"), "keep", "others", "reclaim")
+    return a.unionByName(b).orderBy(F.desc("reclaim"), "keep", "kind")
+
+
+def removable(assets: DataFrame, delivered: DataFrame) -> DataFrame:
+    """Ids of assets whose copy arrived and was verified: same place, size and digest."""
+    there = delivered.where("verified").select("place", "size", "digest")
+    return assets.join(there, ["place", "size", "digest"], "left_semi").select("id")
+
+
+def chosen(rows: DataFrame, group: str, rule: str, directory: str = "") -> DataFrame:
+    """group, keep by a rule of the user's: newest, oldest, biggest or in (the first in a directory, if any)."""
+    by = {"newest": F.max(F.struct(F.coalesce(F.unix_millis("mtime"), F.lit(-1)).alias("v"), F.col("path"))), "oldest": F.min(F.struct(F.coalesce(F.unix_millis("mtime"), F.lit(1 << 62)).alias("v"), F.col("path"))), "biggest": F.max(F.struct(F.col("size").alias("v"), F.col("path"))), "in": F.min(F.when(F.col("path").startswith(directory.rstrip("/") + "/"), F.struct(F.lit(0).alias("v"), F.col("path"))))}
+    return rows.groupBy(group).agg(by[rule].alias("b")).select(group, F.col("b.path").alias("keep"))

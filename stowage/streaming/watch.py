@@ -97,3 +97,15 @@ def look(mode: str, plan, act) -> str:
         return "held"
     act(plan)
     return "applied"
+
+
+def with_rescans(events: DataFrame, errors: DataFrame, roots: DataFrame) -> DataFrame:
+    """Events and, for each lost event (ts, and path or null for all), one event in every root that it may concern."""
+    lost = errors.join(roots, F.col("path").isNull() | F.col("path").startswith(F.concat("root", F.lit("/"))) | (F.col("path") == F.col("root")))
+    return events.unionByName(lost.select("root", F.col("root").alias("path"), F.lit("rescan").alias("kind"), "ts"), allowMissingColumns=True)
+
+
+def sweeps(roots: DataFrame, start, end, every_s: int = 3600) -> DataFrame:
+    """root, ts of the regular full looks between two instants (columns), one at the start."""
+    times = F.sequence(start, end, F.expr(f"interval {every_s} seconds"))
+    return roots.select("root", F.explode(times).alias("ts"))
