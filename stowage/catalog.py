@@ -969,7 +969,7 @@ select path, w.member, arg_min(origin, (case when o.local then 0 when o.connecti
 def sync_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     holders = table(spark, sf_dir, "customer").selectExpr("concat('p', c_custkey % 300) as path", "concat('m', c_nationkey % 6) as origin").distinct()
     members = spark.range(6).selectExpr("concat('m', id) as member", "id % 4 = 0 as local", "id % 2 as connection")
-    return sync.routes(holders, members, holders.select("path").distinct().crossJoin(F.broadcast(members.select("member"))))
+    return sync.routes(holders, members, holders.select("path").distinct().select("path", F.explode(F.array(*[F.lit(f"m{k}") for k in range(6)])).alias("member")))
 
 
 @query("select p_brand as brand, arg_max('x/' || p_partkey, (p_size, 'x/' || p_partkey)) as keep from part group by 1")

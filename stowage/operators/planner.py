@@ -1,9 +1,9 @@
 """Plans: the ordered operations that bring a tree to the shape a policy wants.
 
 Deciding what each file wants is one projection. Names are then given out
-within each target directory, the only place where two wants can meet: a
-directory with more movers than one task should see goes through the same steps
-in pieces of its names. Ordering joins operations on the paths they touch.
+within each family of names of a target directory, the only place where two
+wants can meet: a name and its numbered variants. Ordering joins operations on
+the paths they touch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import heapq
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import grammar, paths
@@ -70,13 +70,12 @@ def assign(decided: DataFrame, inventory: DataFrame, policy: Policy) -> DataFram
     is_dir = F.coalesce(F.col("is_dir"), F.lit(False))
     folders = inventory.where(is_dir).select("path").union(inventory.where(~is_dir).select(F.explode(paths.ancestors(F.col("path"))))).distinct()
     rows = (
-        movers.select(paths.parent(F.col("want")).alias("directory"), F.lit("mover").alias("role"), "path", "want")
-        .unionByName(stays.select(paths.parent(F.col("path")).alias("directory"), F.lit("stays").alias("role"), "path", F.col("path").alias("want")))
-        .unionByName(folders.select(paths.parent(F.col("path")).alias("directory"), F.lit("folder").alias("role"), "path", F.col("path").alias("want")))
+        movers.select(_family(F.col("want")).alias("family"), F.lit("mover").alias("role"), "path", "want")
+        .unionByName(stays.select(_family(F.col("path")).alias("family"), F.lit("stays").alias("role"), "path", F.col("path").alias("want")))
+        .unionByName(folders.select(_family(F.col("path")).alias("family"), F.lit("folder").alias("role"), "path", F.col("path").alias("want")))
     )
-    # Only directories into which something moves take part.
-    targets = movers.select(paths.parent(F.col("want")).alias("directory")).distinct()
-    rows = rows.join(targets, "directory", "left_semi")
+    # Only families that something moves into take part.
+    rows = rows.join(movers.select(_family(F.col("want")).alias("family")).distinct(), "family", "left_semi")
     how = policy.on_conflict
 
     def give(group: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +107,13 @@ def assign(decided: DataFrame, inventory: DataFrame, policy: Policy) -> DataFram
             out.append((r.path, "already_there" if final == r.path else kind, final))
         return pd.DataFrame(out, columns=["path", "kind", "final"])
 
-    return rows.groupBy("directory").applyInPandas(give, "path string, kind string, final string")
+    return rows.groupBy("family").applyInPandas(give, "path string, kind string, final string")
+
+
+def _family(path: Column) -> Column:
+    """What a path and all its numbered variants share."""
+    n = paths.name(path)
+    return F.concat_ws("/", paths.parent(path), F.regexp_replace(paths.stem(n), "(-[0-9]+)+$", ""), paths.ext(n))
 
 
 def _numbered(path: str, n: int) -> str:
@@ -140,10 +145,11 @@ def blast(inventory: DataFrame, ops: DataFrame) -> DataFrame:
     """One row: files moved, of how many, their bytes, directories created and removed, and whether that is over the limit."""
     files = complete(inventory).where(~F.coalesce(F.col("is_dir"), F.lit(False))).select("path", "size")
     moved = ops.where(F.col("op").isin("move", "quarantine", "trash")).select(F.col("source").alias("path"), F.lit(1).alias("moved"))
-    totals = files.join(moved, "path", "left").agg(F.coalesce(F.sum("moved"), F.lit(0)).alias("files"), F.count(F.lit(1)).alias("of"), F.coalesce(F.sum(F.when(F.col("moved") == 1, F.col("size"))), F.lit(0)).alias("bytes"))
-    dirs = ops.agg(F.count_if(F.col("op") == "mkdir").alias("created"), F.count_if(F.col("op") == "rmdir").alias("removed"))
-    over = (F.col("files") > MOST_FILES) | (F.col("files") * MOST_SHARE >= F.col("of")) & (F.col("files") > 0)
-    return totals.crossJoin(F.broadcast(dirs)).withColumn("over_limit", over)  # one row each
+    zero = F.lit(0)
+    one = files.join(moved, "path", "left").select(F.coalesce("moved", zero).alias("files"), F.lit(1).alias("of"), F.when(F.col("moved") == 1, F.col("size")).otherwise(0).alias("bytes"), zero.alias("created"), zero.alias("removed"))
+    two = ops.select(zero.alias("files"), zero.alias("of"), zero.alias("bytes"), (F.col("op") == "mkdir").cast("int").alias("created"), (F.col("op") == "rmdir").cast("int").alias("removed"))
+    out = one.unionByName(two).agg(*[F.coalesce(F.sum(c), zero).cast("long").alias(c) for c in ("files", "of", "bytes", "created", "removed")])
+    return out.withColumn("over_limit", (F.col("files") > MOST_FILES) | (F.col("files") * MOST_SHARE >= F.col("of")) & (F.col("files") > 0))
 
 
 def waiting(decided: DataFrame) -> DataFrame:

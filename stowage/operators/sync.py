@@ -50,7 +50,8 @@ def states(members: DataFrame, listings: DataFrame, baseline: DataFrame) -> Data
     then = baseline.select("member", "path", F.struct("present", "size", "mtime", "digest").alias("then"))
     seen = now.join(then, ["member", "path"], "full").where(usable(F.col("path")))
     # A path that only some members hold is missing at the others.
-    every = seen.select("path").distinct().crossJoin(F.broadcast(members.select("member")))
+    names = [r.member for r in members.select("member").distinct().collect()]  # as many as a sync has ends
+    every = seen.select("path").distinct().select("path", F.explode(F.array(*map(F.lit, names))).alias("member"))
     rows = every.join(seen, ["member", "path"], "left")
     both_clocks = F.col("now.mtime").isNotNull() & F.col("then.mtime").isNotNull()
     changed = (

@@ -112,8 +112,19 @@ def batches(rows: DataFrame, limit: int, group: str, order: str, size: str) -> D
 def lately(rows: DataFrame, keys: list[str], at: str, window_s: float = 600.0) -> DataFrame:
     """keys, head, n: runs of like rows, newest first, each within ten minutes of its newest row.
 
-    A run is anchored at its head, not at its last row, so it is folded.
+    A run is anchored at its head, not at its last row, so it is folded. Rows
+    further apart than the time are in different runs in any case, so what is
+    folded are the stretches between such gaps only.
     """
+    near = W.partitionBy(*keys).orderBy(F.desc(at))
+    gap = F.unix_micros(F.lag(at).over(near)) - F.unix_micros(at) > int(window_s * 1e6)
+    rows = rows.select(*keys, at, F.coalesce(gap, F.lit(False)).cast("int").alias("_cut"))
+    rows = rows.withColumn("_stretch", F.sum("_cut").over(near.rowsBetween(W.unboundedPreceding, 0)))
+    stretch = W.partitionBy(*keys, "_stretch")
+    span = F.unix_micros(F.max(at).over(stretch)) - F.unix_micros(F.min(at).over(stretch))
+    rows = rows.withColumn("_long", span > int(window_s * 1e6))
+    # A stretch no longer than the time is one run as it is.
+    short = rows.where(~F.col("_long")).groupBy(*keys, "_stretch").agg(F.max(at).alias("head"), F.count(F.lit(1)).alias("n")).drop("_stretch")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         times = pdf[at].sort_values(ascending=False)
@@ -126,7 +137,7 @@ def lately(rows: DataFrame, keys: list[str], at: str, window_s: float = 600.0) -
         return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), h, n) for h, n in heads], columns=[*keys, "head", "n"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(*keys, at).groupBy(*keys).applyInPandas(fold, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", head {kinds[at]}, n long")
+    return short.unionByName(rows.where("_long").select(*keys, at, "_stretch").groupBy(*keys, "_stretch").applyInPandas(fold, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", head {kinds[at]}, n long"))
 
 
 def scan_rows(exact: DataFrame, near: DataFrame, sizes: DataFrame) -> DataFrame:
