@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.shipping import ship
+
 #: Rows in an Arrow batch; keeps a batch of very long texts within memory.
 ROWS = 500
 _WORD = re.compile(r"\w+")
@@ -33,6 +35,7 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``fn`` over Arrow batches of at most ``ROWS`` rows; narrow, no shuffle."""
 
+    ship(df.sparkSession)
     owner = fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

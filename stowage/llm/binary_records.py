@@ -37,7 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.batches import ROWS, forget_at_exit, map_batches, shared_dir
+from stowage.llm.batches import ROWS, forget_at_exit, shared_dir
+from stowage.shipping import ship
 
 MASK = 0xA282EAD8
 _HEAD, _CRC, _PAYLOAD, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB"), struct.Struct("<QQ")
@@ -291,6 +292,7 @@ def binary_output(docs: DataFrame, definition: str, end_id: int = 1, files: int
     Only one row for each file, of as many as are asked for, comes to the driver.
     """
     spark = docs.sparkSession
+    ship(spark)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = shared_dir(spark, "records")
     forget_at_exit(spark, folder)
