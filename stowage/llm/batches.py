@@ -71,13 +71,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here.
 
-    The folder is removed when the session's program ends.
+    The folder is removed by ``drop``, or else when the session's program ends.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
     forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing will read any more."""
+    for table in tables:
+        forget(table.sparkSession, table._stored_at)
 
 
 def forget_at_exit(spark: SparkSession, path: str) -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stowage.llm.batches import Codes, claim, map_batches, mixed, stored, windows, words
+from stowage.llm.batches import Codes, claim, drop, map_batches, mixed, stored, windows, words
 
 GRAM, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 256
 #: Grams in a block of nodes, each node counting for as many more, which bounds the nodes too; a cell has two blocks.
@@ -123,12 +123,14 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     for k in range(1, 60):
         near = stored(around.join(labels, around.y == labels.node).groupBy("x").agg(F.min("root").alias("root")).withColumnRenamed("x", "node"), f"{name}-{k}a")
         of_root = near.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        labels = stored(near.join(of_root, "root").select("node", F.col("next").alias("root")), f"{name}-{k}b")
+        before, labels = labels, stored(near.join(of_root, "root").select("node", F.col("next").alias("root")), f"{name}-{k}b")
+        drop(before, near)
         # Labels only ever fall, so an equal sum means that none did.
         now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == total:
             break
         total = now
+    drop(around)
     return labels
 
 
@@ -203,7 +205,8 @@ def similar(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall
     in_band = nodes.select("node", F.explode("bands").alias("band"))
     buckets = stored(in_band.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "center"), "buckets")
     candidates = in_band.join(buckets, "band").where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    members = components(candidates, "candidates").join(nodes.select("node", "key", "n", "copies"), "node")
+    near = components(candidates, "candidates")
+    members = near.join(nodes.select("node", "key", "n", "copies"), "node")
 
     # Sizes that differ by more than one step of the threshold can't be similar.
     members = stored(members.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int")), "members")
@@ -252,12 +255,14 @@ def similar(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall
         "compared",
     )
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(compared.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")), "links").withColumnRenamed("root", "class_id")
+    linked = components(compared.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")), "links")
+    classes = linked.withColumnRenamed("root", "class_id")
     known = stored(
         nodes.select("key", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
         .select("key", "copies", F.coalesce("class_id", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "known",
     )
+    drop(nodes, buckets, near, members, parts, placed, compared, linked)
     return (
         every.select("doc_id", "key").join(known, "key", "left")
         .select(
