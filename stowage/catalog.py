@@ -557,12 +557,12 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {OPS}, con as (select n_nationkey as connection from nation), links as (select s_suppkey as link, s_nationkey as f, (s_suppkey % 25)::int as t from supplier), bl as (select distinct link, unnest([f, t]) as connection from links)
-select connection, (select count(distinct link) from bl where bl.connection = con.connection) as links, (select count(distinct c_custkey) from customer where c_nationkey = con.connection and c_custkey < 100) as members,
+select connection, (select count(distinct link) from bl where bl.connection = con.connection) as links, (select count(distinct c_custkey) from customer where c_nationkey = con.connection) as members,
 (select count(*) from bl join ops using (link) where bl.connection = con.connection) as ops from con""")
 def connection_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     connections = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("connection"))
     links = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as link", "s_nationkey as from_connection", "cast(s_suppkey % 25 as int) as to_connection")
-    members = table(spark, sf_dir, "customer").where("c_custkey < 100").selectExpr("c_custkey as member", "c_nationkey as connection")
+    members = table(spark, sf_dir, "customer").selectExpr("c_custkey as member", "c_nationkey as connection")
     return journal.uses(connections, links, ops_of(spark, sf_dir), members)
 
 
@@ -713,13 +713,13 @@ def transfer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(W.orderBy(F.desc("size"), "path")).cast("long"))  # over fifty rows
 
 
-_HELD = "h as (select concat('d/f', c_nationkey, '-', 2 + (c_custkey % 4), '.txt') as path from customer where c_custkey < 60)"
+_HELD = "h as (select concat('d/f', c_nationkey, '-', 2 + (c_custkey % 40), '.txt') as path from customer)"
 
 
-@query(f"""with {_HELD}, f as (select n_nationkey as k, concat('d/f', n_nationkey, '.txt') as path from nation), c as (select k, f.path, n, concat('d/f', k, '-', n, '.txt') as cand from f, range(2, 8) r(n))
+@query(f"""with {_HELD}, f as (select n_nationkey as k, concat('d/f', n_nationkey, '.txt') as path from nation), c as (select k, f.path, n, concat('d/f', k, '-', n, '.txt') as cand from f, range(2, 60) r(n))
 select path, arg_min(cand, n) as free from c where cand not in (select path from h) group by path""")
 def transfer_disambiguate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "customer").where("c_custkey < 60").selectExpr("concat('d/f', c_nationkey, '-', 2 + c_custkey % 4, '.txt') as path")
+    held = table(spark, sf_dir, "customer").selectExpr("concat('d/f', c_nationkey, '-', 2 + c_custkey % 40, '.txt') as path")
     rows = table(spark, sf_dir, "nation").selectExpr("concat('d/f', n_nationkey, '.txt') as path")
     return transfer.disambiguated(rows, held).select("path", "free")
 

@@ -49,20 +49,23 @@ def keep_choice(rows: DataFrame, group: str = "digest") -> DataFrame:
 
     Rows have path, mtime, pinned, settled. Settledness and age only decide
     where they tell the copies apart. More than one pin is the reason two_pins,
-    and nothing is kept.
+    and nothing is kept. The best of each kind are smallest structs, merged
+    before the shuffle, so a group of very many copies is never sorted.
     """
-    by = W.partitionBy(group)
-    settled = F.coalesce(F.col("settled"), F.lit(False))
-    pins = F.sum(F.coalesce(F.col("pinned"), F.lit(False)).cast("int")).over(by)
-    n_settled, n = F.sum(settled.cast("int")).over(by), F.count(F.lit(1)).over(by)
-    rows = rows.withColumn("_pins", pins).withColumn("_settles", (n_settled > 0) & (n_settled < n))
-    rows = rows.withColumn("_in", F.when(F.col("_settles"), settled).otherwise(F.lit(False)))
-    oldest, newest = F.min("mtime").over(by), F.max("mtime").over(by)
-    has_null = F.max(F.col("mtime").isNull().cast("int")).over(by) == 1
-    rows = rows.withColumn("_ages", ~F.col("_settles") & ((oldest < newest) | (has_null & oldest.isNotNull())))
-    rank = F.row_number().over(by.orderBy(F.coalesce(F.col("pinned"), F.lit(False)).desc(), F.col("_in").desc(), F.when(F.col("_ages"), F.col("mtime")).asc_nulls_last(), *paths.path_order(F.col("path"))))
-    why = F.when(F.col("_pins") > 1, "two_pins").when(F.col("_pins") == 1, "pinned").when(F.col("_settles"), "settled").when(F.col("_ages"), "oldest").otherwise("order")
-    return rows.withColumn("kept", (rank == 1) & (F.col("_pins") < 2)).withColumn("why", why).drop("_pins", "_settles", "_in", "_ages")
+    pinned, settled = F.coalesce(F.col("pinned"), F.lit(False)), F.coalesce(F.col("settled"), F.lit(False))
+    order = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(paths.path_order(F.col("path")))))
+    best = lambda *keys: F.min(F.struct(*(k.alias(f"k{n}") for n, k in enumerate(keys)), order.alias("order")))["order"]["o2"]
+    chosen = rows.groupBy(group).agg(
+        F.sum(pinned.cast("int")).alias("_pins"), F.sum(settled.cast("int")).alias("_st"), F.count(F.lit(1)).alias("_n"),
+        F.min("mtime").alias("_lo"), F.max("mtime").alias("_hi"), F.max(F.col("mtime").isNull()).alias("_null"),
+        best(~pinned, ~settled).alias("_settled"), best(~pinned, F.col("mtime").isNull(), F.col("mtime")).alias("_oldest"), best(~pinned).alias("_order"),
+    )
+    settles = (F.col("_st") > 0) & (F.col("_st") < F.col("_n"))
+    ages = F.coalesce((F.col("_lo") < F.col("_hi")) | (F.col("_null") & F.col("_lo").isNotNull()), F.lit(False))
+    why = F.when(F.col("_pins") > 1, "two_pins").when(F.col("_pins") == 1, "pinned").when(settles, "settled").when(ages, "oldest").otherwise("order")
+    keep = F.when(F.col("_pins") > 1, None).when(settles, F.col("_settled")).when(ages, F.col("_oldest")).otherwise(F.col("_order"))
+    chosen = chosen.select(group, keep.alias("_keep"), why.alias("why"))
+    return rows.join(chosen, group).withColumn("kept", F.coalesce(F.col("path") == F.col("_keep"), F.lit(False))).drop("_keep")
 
 
 def hard_links(inventory: DataFrame) -> DataFrame:
