@@ -61,6 +61,7 @@ STEPS = [
     (r"[^\p{L}\p{N}\n]+", " "),
 ]
 _LINES = r" *\n *"
+CUES = ("licens", "released")
 
 
 def _cleaned(text: Column) -> Column:
@@ -89,16 +90,17 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, notices:
     """
     spark = docs.sparkSession
     notices = NOTICES if notices is None else notices
-    lines = {}
-    for row in spark.createDataFrame([(x,) for x in notices], "text string").select("text", _digest(_cleaned(F.col("text"))).alias("digest")).collect():
+    lines, cleaned = {}, []
+    for row in spark.createDataFrame([(x,) for x in notices], "text string").select("text", _cleaned(F.col("text")).alias("cleaned"), _digest(_cleaned(F.col("text"))).alias("digest")).collect():
         lines[row.digest] = notices[row.text]
-    # A map of constants: each line costs one look-up, and nothing is exploded. Every notice
-    # has one of these words, so that other lines need no digest.
-    names = F.create_map(*[F.lit(x) for pair in sorted(lines.items()) for x in pair])
-    found = F.transform(
-        F.filter(F.split(F.col("cleaned"), _LINES), lambda x: x.contains("licens") | x.contains("released")),
-        lambda x: F.element_at(names, F.sha2(F.trim(x), 256)),
-    )
+        cleaned.append(row.cleaned)
+    # A map of constants: each line costs one look-up, and nothing is exploded. If every notice
+    # has one of two words, lines without them need no digest.
+    names = F.create_map(*[F.lit(x) for pair in sorted(lines.items()) for x in pair]) if lines else F.create_map().cast("map<string,string>")
+    each = F.split(F.col("cleaned"), _LINES)
+    if all(any(w in x for w in CUES) for x in cleaned):
+        each = F.filter(each, lambda x: x.contains(CUES[0]) | x.contains(CUES[1]))
+    found = F.transform(each, lambda x: F.element_at(names, F.sha2(F.trim(x), 256)))
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), _cleaned(F.col("text")).alias("cleaned"))
         .select("doc_id", _digest(F.col("cleaned")).alias("digest"), F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",").alias("notices"))

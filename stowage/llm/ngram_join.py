@@ -28,7 +28,6 @@ Intermediate tables are written to the shared folder, where lineage ends.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
