@@ -31,6 +31,8 @@ from stowage.llm.batches import learns_from, map_batches
 DIMS = 1 << 13
 #: Labelled rows a language's centroids are fitted on, at most, and centroids of a language.
 SAMPLE, CENTROIDS = 500, 4
+#: Rows of all languages together, at most; with very many languages each gets fewer.
+TOTAL = 20_000
 #: Languages told apart at most; of more, the ones with most rows.
 LANGUAGES = 1000
 #: A text is rejected below this share of the smallest cosine among its language's own sample.
@@ -104,6 +106,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return None
+    sample = max(1, min(sample, TOTAL // len(sizes)))
     # The share of its rows that gives a language about half as many again as the sample; the rest goes on the driver.
     share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(math.ceil((1 << 30) * min(1.0, 1.5 * sample / r.n))))])
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).select(F.xxhash64("doc_id").alias("order"), "text", "lang")

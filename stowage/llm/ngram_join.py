@@ -127,10 +127,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         # Labels only ever fall, so an equal sum means that none did.
         now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == total:
-            break
+            drop(around)
+            return labels
         total = now
-    drop(around)
-    return labels
+    raise RuntimeError("labels still fall after so many rounds")
 
 
 def _products(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:

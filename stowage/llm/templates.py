@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,16 +181,16 @@ class Items:
         return equal
 
 
-def blocks(benchmark: DataFrame, block: int = BLOCK) -> list[Items]:
-    """The items in blocks of about ``block`` characters, each a bounded part of the table."""
+def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Items]:
+    """The items in blocks of about ``block`` characters, each a bounded part of the table, one after another."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // block))
-    parts = []
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        parts.append(Items(sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
-    return [p for p in parts if len(p.hash)]
+        items = Items(sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        if len(items.hash):
+            yield items
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
