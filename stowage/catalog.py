@@ -990,3 +990,35 @@ def sweep_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = table(spark, sf_dir, "events").select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("root")).distinct()
     start = F.timestamp_seconds(F.lit(EPOCH))
     return watch.sweeps(roots, start, F.timestamp_seconds(F.lit(EPOCH + 86400))).select("root", F.unix_micros("ts").alias("ts"))
+
+
+@query(f"""with i as ({DOCS}) select path, case when size >= 1048576 then printf('%.1f MiB', size / 1048576.0) when size >= 1024 then printf('%.1f KiB', size / 1024.0) else size || ' B' end as shown,
+case when a >= 604800 then a // 604800 || 'w' when a >= 86400 then a // 86400 || 'd' else a || 's' end as age from (select *, greatest(0, {NOW} - mtime_s) as a from i)""")
+def display_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inv_docs(spark, sf_dir).select("path", grammar.human_bytes(F.col("size")).alias("shown"), grammar.human_age(grammar.age(F.col("now"), F.col("mtime"))).alias("age"))
+
+
+@query(f"with {_TRANSFER} select path, case verdict when 'fresh' then 'copy' when 'identical' then 'keep' when 'same_size' then 'read' else 'quarantine' end as action from v")
+def transfer_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transfer.decided(transfer.classified(*transfer_sides(spark, sf_dir)), "quarantine").select("path", "action")
+
+
+@query(f"with i as ({DOCS}) select path from i where doc_id % 3 <> 0 intersect select path from i where doc_id % 2 = 0")
+def transfer_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inv_docs(spark, sf_dir)
+    return transfer.overlapping_names(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 2 = 0"))
+
+
+@query(f"with i as ({DOCS}) select path, case when doc_id % 11 = 0 then 'gone' when doc_id % 7 = 0 then 'size' else 'time' end as change from i where doc_id % 11 = 0 or doc_id % 7 = 0 or doc_id % 5 = 0")
+def plan_changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inv_docs(spark, sf_dir).select("doc_id", "path", "size", "mtime")
+    live = docs.where("doc_id % 11 <> 0").select("path", F.when(F.col("doc_id") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(F.col("doc_id") % 5 == 0, F.expr("mtime + interval 1 second")).otherwise(F.col("mtime")).alias("mtime"))
+    return planner.changed_since(docs, live)
+
+
+@query("select vec_id, label + 1 as weight from embeddings")
+def print_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "embeddings").select("vec_id", similar.signature("embedding").alias("s"), (F.col("label") + 1).alias("w"))
+    text = m.withColumn("t", similar.encode_print(F.lit("sign64"), F.col("s"), F.col("w"), F.array("s", F.lit(-1).cast("long"))))
+    back = text.withColumn("b", similar.decode_print(F.col("t"), "sign64")).where((F.col("b.signature") == F.col("s")) & (F.col("b.detail") == F.array("s", F.lit(-1).cast("long"))))
+    return back.select("vec_id", F.col("b.weight").cast("int").alias("weight"))

@@ -292,3 +292,17 @@ def fingerprint(inventory: DataFrame) -> DataFrame:
     row = F.sha2(F.concat_ws("\0", "path", F.col("size").cast("string"), F.unix_millis("mtime").cast("string")), 256)
     halves = [F.conv(F.substring(row, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)") for k in range(4)]
     return complete(inventory).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws(",", *(F.sum(h).cast("string") for h in halves)), 256).alias("fingerprint"))
+
+
+def changed_since(inventory: DataFrame, live: DataFrame) -> DataFrame:
+    """path, change (gone, size, time) of files that are not what they were when a plan was made."""
+    now = live.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_there"))
+    rows = complete(inventory).where(~F.coalesce(F.col("is_dir"), F.lit(False))).join(now, "path", "left")
+    change = F.when(F.col("_there").isNull(), "gone").when(F.col("size") != F.col("_size"), "size").when(F.col("mtime").isNotNull() & F.col("_mtime").isNotNull() & (F.col("mtime") != F.col("_mtime")), "time")
+    return rows.select("path", change.alias("change")).where("change is not null")
+
+
+def same_contents(before: DataFrame, after: DataFrame, content: str = "hash") -> bool:
+    """Whether two trees hold the same contents, each as often, wherever they are."""
+    a, b = before.select(content), after.select(content)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -9,6 +9,8 @@ only meet followers along candidate pairs, so components are independent.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,3 +97,24 @@ def clusters(marks: DataFrame, bits: int = BITS) -> DataFrame:
         return pd.DataFrame(out, columns=["sort", "leader", "path", "alike", "band"])
 
     return rows.select("sort", "label", "path", "signature", "rank").groupBy("sort", "label").applyInPandas(lead, "sort string, leader string, path string, alike int, band string")
+
+
+def encode_print(algorithm: Column, sign: Column, weight: Column, detail: Column) -> Column:
+    """``algorithm:signature:weight:detail`` with signatures in hexadecimal."""
+    wide = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return F.concat_ws(":", algorithm, wide(sign), weight.cast("string"), F.array_join(F.transform(detail, wide), ","))
+
+
+def decode_print(text: Column, algorithm: str) -> Column:
+    """struct(signature, weight, detail); null for another algorithm or anything unreadable."""
+    parts = F.split(text, ":")
+    # conv gives unsigned decimals; those beyond a long's range are its negative numbers.
+    whole = F.lit(Decimal(1 << 64)).cast("decimal(21,0)")
+
+    def number(h: Column) -> Column:
+        n = F.conv(h, 16, 10).cast("decimal(21,0)")
+        return F.when(n * 2 >= whole, n - whole).otherwise(n).cast("long")
+
+    fits = text.rlike(f"^{algorithm}:[0-9a-f]{{16}}:[0-9]+:([0-9a-f]{{16}}(,[0-9a-f]{{16}})*)?$")
+    detail = F.when(F.get(parts, F.lit(3)) == "", F.array().cast("array<long>")).otherwise(F.transform(F.split(F.get(parts, F.lit(3)), ","), number))
+    return F.when(fits, F.struct(number(F.get(parts, F.lit(1))).alias("signature"), F.get(parts, F.lit(2)).cast("long").alias("weight"), detail.alias("detail")))

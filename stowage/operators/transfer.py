@@ -55,3 +55,16 @@ def disambiguated(rows: DataFrame, target: DataFrame, most: int = 9999) -> DataF
 def summary(outcomes: DataFrame) -> DataFrame:
     """outcome, files, bytes of a run."""
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def decided(rows: DataFrame, on_conflict: str) -> DataFrame:
+    """Adds ``action`` to classified rows: copy, keep (already there), wait, read (contents have to be compared), or what is done about a clash."""
+    if on_conflict not in ("rename", "skip", "replace", "quarantine"):
+        raise ValueError(f"no such way to deal with a clash: {on_conflict!r}")
+    v = F.col("verdict")
+    return rows.withColumn("action", F.when(v == "fresh", "copy").when(v == "identical", "keep").when(v == "too_recent", "wait").when(v == "same_size", "read").otherwise(on_conflict))
+
+
+def overlapping_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The paths that two legs both have."""
+    return a.select("path").intersect(b.select("path"))

@@ -110,3 +110,29 @@ def parse_end(text: str) -> tuple[str | None, str]:
     """(connection, path) of ``name:path``; one letter before the colon is a drive."""
     head, colon, tail = text.partition(":")
     return (head, tail) if colon and len(head) > 1 and "/" not in head else (None, text)
+
+
+def survey(spark: SparkSession, root: str, policy, now=None) -> DataFrame:
+    """The inventory of a local root with what a policy asks for, and nothing that costs more.
+
+    Listings alone give the first tier; only policies that ask for media types
+    or digests make files be read. Ignored and opaque directories are listed
+    but not entered where their patterns are plain names.
+    """
+    from datetime import datetime, timezone
+
+    register(spark)
+    plain = [p.removeprefix("**/") for p in (*policy.ignore, *policy.opaque) if not any(c in p.removeprefix("**/") for c in "*?[{/")]
+    rows = spark.read.format("inventory").option("prune", ",".join([*plain, *paths.RESERVED])).load(root)
+    rows = rows.withColumn("now", F.lit(now or datetime.now(timezone.utc)).cast("timestamp"))
+    if policy.tier == "stat":
+        return rows
+    read = files(spark, root, content=True).select("path", sniff(F.substring("content", 1, 8192), F.col("path")).alias("mime"), *([F.sha2("content", 256).alias("hash")] if policy.tier == "whole" else []))
+    return rows.join(read, "path", "left")
+
+
+def deepened(inventory: DataFrame, content: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The inventory with digests of the wanted paths alone, from content (path, content)."""
+    some = content.join(wanted.select("path"), "path", "left_semi").select("path", F.sha2("content", 256).alias("_hash"))
+    base = inventory if "hash" in inventory.columns else inventory.withColumn("hash", F.lit(None).cast("string"))
+    return base.join(some, "path", "left").withColumn("hash", F.coalesce("hash", "_hash")).drop("_hash")

@@ -86,3 +86,23 @@ def test_verified_copy_and_governor(tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["a", "b"]
     g = Governor()
     assert [g.observe(t) for t in (10, 20, 20.1)] == [3, 4, 3] and g.observe(5, overloaded=True) == 1
+
+
+def test_survey_reads_no_more_than_asked(spark, tmp_path):
+    (tmp_path / "node_modules" / "x").mkdir(parents=True)
+    (tmp_path / "node_modules" / "x" / "y.js").write_text("1")
+    (tmp_path / "a.txt").write_text("hello")
+    head = '[folder]\nname = "p"\nopaque = ["**/node_modules"]\n[[rule]]\nname = "r"\npath = "{}"\nmatch = {{ glob = ["**"] }}\n'
+    rows = source.survey(spark, str(tmp_path), load(head.format("{ext}")))
+    assert {r.path for r in rows.collect()} == {"a.txt", "node_modules"} and "hash" not in rows.columns
+    rows = source.survey(spark, str(tmp_path), load(head.format("{hash:8}")))
+    import hashlib
+
+    assert {r.path: (r.mime, r.hash) for r in rows.where("not is_dir").collect()} == {"a.txt": ("text/plain", hashlib.sha256(b"hello").hexdigest())}
+
+
+def test_changes_and_contents(spark):
+    a = spark.createDataFrame([("x", 1, None, "h"), ("y", 1, None, "h")], "path string, size long, mtime timestamp, hash string")
+    b = spark.createDataFrame([("z", 1, None, "h"), ("y", 2, None, "h")], "path string, size long, mtime timestamp, hash string")
+    assert {r.path: r.change for r in planner.changed_since(a, b).collect()} == {"x": "gone", "y": "size"}
+    assert planner.same_contents(a, b) and not planner.same_contents(a, b.limit(1))
