@@ -1022,3 +1022,14 @@ def print_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = m.withColumn("t", similar.encode_print(F.lit("sign64"), F.col("s"), F.col("w"), F.array("s", F.lit(-1).cast("long"))))
     back = text.withColumn("b", similar.decode_print(F.col("t"), "sign64")).where((F.col("b.signature") == F.col("s")) & (F.col("b.detail") == F.array("s", F.lit(-1).cast("long"))))
     return back.select("vec_id", F.col("b.weight").cast("int").alias("weight"))
+
+
+@query("""with n as (select event_id as id, concat('r', user_id, '/', event_type) as folder, epoch_us(ts) as t from events where event_type <> 'view'),
+o as (select case when value > 20 then concat('r', user_id) else concat('r', user_id, '/click') end as root, epoch_us(ts) as s from events where event_type = 'view')
+select id from n where not exists (select 1 from o where (n.folder = o.root or starts_with(n.folder, o.root || '/')) and n.t - o.s between 0 and 7200000000)""")
+def unexplained_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = watched(events_of(spark, sf_dir).withColumn("v", F.col("value"))).select("event_id", "root", "path", "ts")
+    value = table(spark, sf_dir, "events").select("event_id", "value")
+    notices = events.where(~F.col("path").endswith("/view")).select(F.col("event_id").alias("id"), F.col("path").alias("folder"), F.col("ts").alias("at"))
+    ops = events.where(F.col("path").endswith("/view")).join(value, "event_id").select(F.when(F.col("value") > 20, F.col("root")).otherwise(F.concat("root", F.lit("/click"))).alias("root"), F.col("ts").alias("started_at"))
+    return views.unexplained(notices, ops, 7200).select("id")

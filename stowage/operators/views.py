@@ -159,3 +159,12 @@ def chosen(rows: DataFrame, group: str, rule: str, directory: str = "") -> DataF
     """group, keep by a rule of the user's: newest, oldest, biggest or in (the first in a directory, if any)."""
     by = {"newest": F.max(F.struct(F.coalesce(F.unix_millis("mtime"), F.lit(-1)).alias("v"), F.col("path"))), "oldest": F.min(F.struct(F.coalesce(F.unix_millis("mtime"), F.lit(1 << 62)).alias("v"), F.col("path"))), "biggest": F.max(F.struct(F.col("size").alias("v"), F.col("path"))), "in": F.min(F.when(F.col("path").startswith(directory.rstrip("/") + "/"), F.struct(F.lit(0).alias("v"), F.col("path"))))}
     return rows.groupBy(group).agg(by[rule].alias("b")).select(group, F.col("b.path").alias("keep"))
+
+
+def unexplained(notices: DataFrame, ops: DataFrame, within_s: int = 120) -> DataFrame:
+    """Notices (id, folder, at) that no operation (root, started_at) in the folder or above it explains by starting up to two minutes before."""
+    up = notices.select("id", "at", F.explode(F.concat(F.array("folder"), paths.ancestors(F.col("folder")))).alias("root"))
+    o = ops.select("root", F.col("started_at").alias("_started"))
+    late = F.unix_micros("at") - F.unix_micros("_started")
+    explained = up.join(o, "root").where(late.between(0, within_s * 1_000_000)).select("id").distinct()
+    return notices.join(explained, "id", "left_anti")
