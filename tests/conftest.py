@@ -21,5 +21,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from stowage.shipping import ship
+
+    ship(session)
     yield session
     session.stop()
