@@ -8,6 +8,8 @@ narrow rows. A lost executor only repeats its own batches.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -32,8 +34,12 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches of at most ``ROWS`` rows; narrow, no shuffle."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, remember: bool = True) -> DataFrame:
+    """``fn`` over Arrow batches of at most ``ROWS`` rows; narrow, no shuffle.
+
+    Unless it may ``remember``, a worker that has ended its task gives back
+    what it holds, for idle workers stay and count as memory of the executor.
+    """
 
     ship(df.sparkSession)
     owner = fn.__module__
@@ -45,6 +51,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 out = fn(batch.slice(at, ROWS))
                 if out is not None and out.num_rows:
                     yield out
+        if not remember:
+            give_back()
 
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2 * ROWS:
@@ -118,6 +126,17 @@ def claim(owner: str) -> None:
         _claimed = owner
 
 
+def give_back() -> None:
+    """Drops all that is remembered, and returns freed memory to the system where its C library can."""
+    claim("")
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Remembered(dict):
     """A function's values for short strings, in two generations of ``limit`` strings: what is used again outlives the rest."""
 

@@ -36,14 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stowage.llm.batches import Codes, claim, drop, map_batches, mixed, stored, windows, words
+from stowage.llm.batches import Codes, drop, give_back, map_batches, mixed, stored, windows, words
 
 GRAM, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 256
 #: Grams in a block of nodes, each node counting for as many more, which bounds the nodes too; a cell has two blocks.
 BLOCK, EACH = 400_000, 400
 #: Grams that so many nodes of a cell share are multiplied as a matrix, rarer ones pair by pair.
 DENSE = 12
-_codes = Codes(__name__)
+_codes = Codes(__name__, limit=150_000)
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -105,7 +105,7 @@ def described(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         keys = pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, pa.array(list(map(len, sets)), pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, key binary, n int, bands array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, key binary, n int, bands array<long>", remember=False)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -161,7 +161,8 @@ def _products(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndar
 
 def _cell(table: pa.Table, threshold: float) -> pa.Table:
     """Links and a forest of links of a cell's nodes."""
-    claim("cells")
+    if table.num_rows > 200:  # there may be large matrices
+        give_back()
     rows = {(r["node"], r["side"]): r for r in table.select(["node", "side", "copies", "grams"]).to_pylist()}
     rows = sorted(rows.values(), key=lambda r: (r["side"], r["node"]))
     sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
@@ -247,7 +248,7 @@ def similar(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall
     # Always by a shuffle: what is placed grows with the documents, so it is no side to broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed.hint("merge"), "node")
     kind = placed.schema["cells"].dataType.simpleString()
-    with_sets = map_batches(texts.select("root", "node", "copies", "cells", "key", "text"), sets, f"root long, node long, copies long, cells {kind}, grams binary")
+    with_sets = map_batches(texts.select("root", "node", "copies", "cells", "key", "text"), sets, f"root long, node long, copies long, cells {kind}, grams binary", remember=False)
     in_cells = with_sets.select("root", "node", "copies", "grams", F.explode("cells").alias("cell")).select("root", "node", "copies", "grams", "cell.*")
     compared = stored(
         in_cells.groupBy("root", "low_step", "low", "high_step", "high").applyInArrow(lambda t: _cell(t, threshold), "node long, links long, other long"),
