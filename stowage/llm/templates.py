@@ -7,10 +7,13 @@ placeholders, all else into lower case without outer punctuation. Windows of
 benchmark items. Windows that match along one diagonal (the same distance
 between their places in document and item) are one occurrence; there the
 values in the slots must correspond one to one, which keeps re-parameterised
-questions and lets go of text that merely shares a template.
+questions and lets go of text that merely shares a template. Windows with slots
+are looked up by their plain words as well, so no window of an item is left
+out: where fewer than ``LITERAL`` words are literal only equal words match.
 
 An occurrence counts from ``LEAST`` windows on (13 words in a row), or all of
-an item that has fewer; items shorter than a window are one window.
+an item that has fewer (of its windows with enough literals, where slots have
+other values); items shorter than a window are one window.
 
 The items are taken in blocks of bounded size, each sent along with the tasks
 as a hash table, so the documents are never shuffled and no key of theirs can
@@ -34,10 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.batches import Codes, map_batches, windows
+from stowage.llm.batches import Codes, map_batches, mixed
 
 WIDTH, LEAST = 10, 4
-#: Words in a window that must be no placeholders.
+#: Words in a window that must be no placeholders, for its slots to have other values.
 LITERAL = 6
 #: Characters of benchmark text in one block.
 BLOCK = 20_000_000
@@ -48,6 +51,8 @@ _EDGE = re.compile(r"^[^\w$€£¥+-]+|[^\w%°]+$")
 #: Unit words.
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes ounce ounces pound pounds ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years percent degree degrees dollar dollars cent cents euro euros volt volts watt watts joule joules newton newtons meter meters metre metres kilometer kilometers kilometre kilometres mph kmh hz khz mhz ghz kb mb gb".split())
 _BITS = 20
+#: How windows are found: as templates, as plain words.
+_ALIKE, _SAME = 1, 2
 
 
 def _code(word: str) -> int:
@@ -74,6 +79,24 @@ def _code(word: str) -> int:
 
 _PLACE = {k: np.uint64(xxhash.xxh64_intdigest(k) & int(_LOW)) for k in ("number", "name", "unit")}
 _codes = Codes(__name__, _code)
+_BASE = 0x9E3779B97F4A7C15
+#: Powers of the base of window hashes, and of its inverse; longer ones for longer texts.
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    """Running sums of codes times powers, from which windows of any width have their hash in one step."""
+    if len(codes) >= len(_powers[0]):
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * len(codes), base, np.uint64))))
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * _powers[0][1 : len(codes) + 1], out=out[1:])
+    return out
+
+
+def _windows(sums: np.ndarray, n: int) -> np.ndarray:
+    """What ``batches.windows`` gives for the codes with these sums."""
+    return mixed((sums[n:] - sums[:-n]) * _powers[1][: len(sums) - n] + np.uint64(n))
 
 
 class Template:
@@ -95,16 +118,21 @@ class Template:
         unit[1:] &= number[:-1]
         name = ((codes & _NAME) != 0) & ~starts
         self.kinds = (number * 1 + unit * 2 + name * 3).astype(np.uint8)
-        self.codes = np.where(number, _PLACE["number"], np.where(unit, _PLACE["unit"], np.where(name, _PLACE["name"], codes & _LOW)))
+        plain = codes & _LOW
+        self.codes = np.where(number, _PLACE["number"], np.where(unit, _PLACE["unit"], np.where(name, _PLACE["name"], plain)))
+        self.width = min(WIDTH, len(plain))
+        self._of_codes = _sums(self.codes)
+        self._of_plain = _sums(plain) if self.kinds.any() else self._of_codes
 
-    def windows(self) -> np.ndarray:
-        return windows(self.codes, WIDTH)
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows of ``n`` words as templates and as plain words; equal where there is no slot."""
+        found = _windows(self._of_codes, n)
+        return found, found if self._of_plain is self._of_codes else _windows(self._of_plain, n)
 
     def telling(self) -> np.ndarray:
         """Of each window, whether enough of its words are literal."""
         sums = np.concatenate(([0], np.cumsum(self.kinds == 0)))
-        n = min(WIDTH, len(self.codes))
-        return sums[n:] - sums[: len(sums) - n] >= min(LITERAL, n) if n else np.zeros(0, bool)
+        return sums[self.width :] - sums[: len(sums) - self.width] >= min(LITERAL, self.width)
 
     def slot(self, k: int) -> str:
         return _EDGE.sub("", self.words[self.at[k]]).lower()
@@ -116,27 +144,34 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.rows = rows
         self.templates = [Template(text) for _, text in rows]
-        hashes, items, places = [], [], []
-        self.total = []
+        found = []
+        #: Of each item its windows, and those with enough literals.
+        self.total, self.telling = [], []
         for k, t in enumerate(self.templates):
-            own = t.windows()
-            keep = np.flatnonzero(t.telling())
-            hashes.append(own[keep])
-            items.append(np.full(len(keep), k))
-            places.append(keep)
-            self.total.append(len(keep))
-        nothing = [np.zeros(0, np.int64)]
-        self.hash = np.concatenate(hashes or [np.zeros(0, np.uint64)])
+            if not t.width:
+                self.total.append(0)
+                self.telling.append(0)
+                continue
+            own, plain = t.windows(t.width)
+            telling, slots = t.telling(), own != plain
+            for hashes, at, kind in ((own, telling & slots, _ALIKE), (plain, slots, _SAME), (own, ~slots, _ALIKE | _SAME)):
+                at = np.flatnonzero(at)
+                found.append((hashes[at], np.full(len(at), k), at, np.full(len(at), kind, np.uint8)))
+            self.total.append(len(own))
+            self.telling.append(int(telling.sum()))
+        kinds = (np.uint64, np.int64, np.int64, np.uint8)
+        self.hash, self.item, self.place, self.kind = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip(kinds, zip(*found, strict=True) if found else [()] * 4, strict=True))
         order = np.argsort(self.hash, kind="stable")
-        self.hash, self.item, self.place = self.hash[order], np.concatenate(items or nothing)[order], np.concatenate(places or nothing)[order]
+        self.hash, self.item, self.place, self.kind = (x[order] for x in (self.hash, self.item, self.place, self.kind))
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.hash >> np.uint64(64 - _BITS)] = True
         #: Lengths below WIDTH that whole items have: their single window is as short.
         self.short = sorted({len(t.codes) for t in self.templates if 0 < len(t.codes) < WIDTH})
 
-    def _hits(self, hashes: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of (place in the document, place in the table) with equal hashes."""
-        at = np.flatnonzero(self.seen[hashes >> np.uint64(64 - _BITS)] & telling)
+    def _hits(self, hashes: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of (place in the document, place in the table) with equal hashes, of the places ``at`` or all."""
+        here = np.flatnonzero(self.seen[(hashes if at is None else hashes[at]) >> np.uint64(64 - _BITS)])
+        at = here if at is None else at[here]
         low, high = np.searchsorted(self.hash, hashes[at], "left"), np.searchsorted(self.hash, hashes[at], "right")
         n = high - low
         return np.repeat(at, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -146,32 +181,44 @@ class Items:
         doc = Template(text)
         if not len(doc.codes):
             return []
-        found = [self._hits(doc.windows(), doc.telling())]
-        for n in self.short:
-            if n < len(doc.codes) and n < WIDTH:
-                found.append(self._hits(windows(doc.codes, n), np.ones(len(doc.codes) - n + 1, bool)))
+        found = []
+        for n in (doc.width, *(n for n in self.short if n < doc.width)):
+            own, plain = doc.windows(n)
+            found.append(self._hits(own))
+            if plain is not own:
+                found.append(self._hits(plain, np.flatnonzero(own != plain)))
         at, entry = (np.concatenate(x) for x in zip(*found, strict=True))
-        along: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        along: dict[tuple[int, int], dict[int, int]] = defaultdict(dict)
         for d, e in zip(at.tolist(), entry.tolist(), strict=True):
-            along[int(self.item[e]), d - int(self.place[e])].append((d, int(self.place[e])))
+            place = int(self.place[e])
+            places = along[int(self.item[e]), d - place]
+            places[place] = places.get(place, 0) | int(self.kind[e])
         best: dict[int, tuple[int, bool]] = {}
-        for (item, _), pairs in along.items():
-            pairs = sorted(set(pairs))
-            if len(pairs) >= min(LEAST, self.total[item]):
-                equal = self._consistent(doc, self.templates[item], pairs)
-                if equal is not None:
-                    best[item] = max(best.get(item, (0, False)), (len(pairs), equal))
+        for (item, shift), places in along.items():
+            n, equal = self._occurrence(doc, item, shift, places)
+            if n:
+                best[item] = max(best.get(item, (0, False)), (n, equal))
         return [(self.rows[k][0], n, n / self.total[k], equal) for k, (n, equal) in sorted(best.items())]
 
+    def _occurrence(self, doc: Template, item: int, shift: int, places: dict[int, int]) -> tuple[int, bool]:
+        """Windows of an item's occurrence along a diagonal (0: none), whether all slots are equal. places: how each window of the item was found."""
+        least = min(LEAST, self.total[item])
+        every, same, alike = (sorted(p for p, kind in places.items() if kind & of) for of in (_ALIKE | _SAME, _SAME, _ALIKE))
+        best = (0, False)
+        for some, enough in ((every, least), (same, least), (alike, min(LEAST, self.telling[item]))):
+            if some and len(some) >= enough:
+                equal = self._consistent(doc, self.templates[item], shift, some)
+                if equal is not None:
+                    best = max(best, (len(some), equal))
+        return best
+
     @staticmethod
-    def _consistent(doc: Template, item: Template, pairs: list[tuple[int, int]]) -> bool | None:
+    def _consistent(doc: Template, item: Template, shift: int, places: list[int]) -> bool | None:
         """Whether all slots have equal values; None if values don't correspond one to one."""
-        shift = pairs[0][0] - pairs[0][1]
-        n = min(WIDTH, len(item.codes))
         there: dict[tuple[int, str], str] = {}
         back: dict[tuple[int, str], str] = {}
         equal = True
-        for k in sorted({p + j for _, p in pairs for j in range(n)}):
+        for k in sorted({p + j for p in places for j in range(item.width)}):
             kind = int(item.kinds[k])
             if kind:
                 a, b = item.slot(k), doc.slot(k + shift)

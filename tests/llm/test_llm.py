@@ -289,6 +289,33 @@ def test_template_short_items_and_odd_texts():
     assert items("", "...").matches("anything at all") == []
 
 
+SLOT_RICH = [
+    "What is 12 plus 7?",
+    "Who wrote Hamlet?",
+    "What is the capital of France?",
+    "In what year did Neil Armstrong land?",
+    "Compute 12 + 7 - 3 * 4 + 18 / 6 - 5 * 2 and give the result 17.",
+]
+
+
+@pytest.mark.parametrize("text", SLOT_RICH)
+def test_template_slot_rich_items(text):
+    """No window is left out: with few literals the values must be equal, else they may be others."""
+    found = items(text)
+    assert found.matches("Some words before it, then: " + text + " And more words.") == [(0, found.total[0], 1.0, True)]
+    changed = text.replace("12", "31").replace("Hamlet", "Faust").replace("France", "Peru").replace("Armstrong", "Aldrin")
+    assert changed != text and found.matches("Some words before it, then: " + changed + " And more words.") == []
+    # Windows that can only match as they are don't count against those that may have other values.
+    long = text + " Then the farmer walks slowly to Boston with the two dogs"
+    assert [(m[0], m[3]) for m in items(long).matches("So. " + changed + " Then the farmer walks slowly to Lyon with the two dogs")] == [(0, False)]
+
+
+def test_window_hashes_in_one_step():
+    codes = np.random.default_rng(3).integers(0, 1 << 63, 50, dtype=np.uint64)
+    for n in (1, 4, 10, 50):
+        assert (templates._windows(templates._sums(codes), n) == batches.windows(codes, n)).all()
+
+
 def test_decontamination_finds_planted_passages(spark):
     rng = random.Random(6)
     bench = [t for t in random_texts(60, 8, 5000) if len(t.split()) >= 14][:20]
