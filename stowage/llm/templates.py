@@ -13,7 +13,9 @@ out: where fewer than ``LITERAL`` words are literal only equal words match.
 
 An occurrence counts from ``LEAST`` windows on (13 words in a row), or all of
 an item that has fewer (of its windows with enough literals, where slots have
-other values); items shorter than a window are one window.
+other values); items shorter than a window are one window. Where slots of a
+diagonal conflict, its windows with equal words still count from ``LEAST`` on,
+and so does a stretch of ``LONG`` adjoining windows without a conflict.
 
 The items are taken in blocks of bounded size, each sent along with the tasks
 as a hash table, so the documents are never shuffled and no key of theirs can
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm.batches import Codes, map_batches, mixed
 
-WIDTH, LEAST = 10, 4
+WIDTH, LEAST, LONG = 10, 4, 30
 #: Words in a window that must be no placeholders, for its slots to have other values.
 LITERAL = 6
 #: Characters of benchmark text in one block.
@@ -210,8 +212,37 @@ class Items:
                 equal = self._consistent(doc, self.templates[item], shift, some)
                 if equal is not None:
                     best = max(best, (len(some), equal))
+        if len(every) >= LONG:
+            for first, last in self._stretches(doc, self.templates[item], shift, every):
+                if last - first >= LONG:
+                    best = max(best, (last - first, bool(self._consistent(doc, self.templates[item], shift, list(range(first, last))))))
         return best
 
+    @staticmethod
+    def _stretches(doc: Template, item: Template, shift: int, places: list[int]) -> Iterator[tuple[int, int]]:
+        """The longest stretches (first, last + 1) of adjoining windows whose slots correspond one to one."""
+        n = item.width
+        cuts = [0, *(k for k in range(1, len(places)) if places[k] != places[k - 1] + 1), len(places)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            start, end = places[a], places[b - 1] + n
+            # Of each value its newest partner, that one's newest place, and the newest place of any other partner.
+            seen: dict[tuple[bool, int, str], tuple[str, int, int]] = {}
+            for k in range(start, end):
+                kind = int(item.kinds[k])
+                if not kind:
+                    continue
+                there, here, conflict = item.slot(k), doc.slot(k + shift), -1
+                for back, value, partner in ((False, there, here), (True, here, there)):
+                    newest, at, other = seen.get((back, kind, value), (partner, -1, -1))
+                    if newest != partner:
+                        other = at
+                    seen[back, kind, value] = (partner, k, other)
+                    conflict = max(conflict, other)
+                if conflict >= start:
+                    yield start, max(start, k - n + 1)
+                    start = conflict + 1
+            yield start, max(start, end - n + 1)
+
     @staticmethod
     def _consistent(doc: Template, item: Template, shift: int, places: list[int]) -> bool | None:
         """Whether all slots have equal values; None if values don't correspond one to one."""

@@ -310,6 +310,35 @@ def test_template_slot_rich_items(text):
     assert [(m[0], m[3]) for m in items(long).matches("So. " + changed + " Then the farmer walks slowly to Lyon with the two dogs")] == [(0, False)]
 
 
+def test_template_conflicts_cost_no_more_than_their_windows():
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    for k in (50, 250):
+        words[k] = "1984"
+    copy = list(words)
+    copy[250] = "1985"
+    [(_, n, share, exact)] = items(" ".join(words)).matches("before " + " ".join(copy) + " behind")
+    assert (n, share, exact) == (281, 281 / 291, True)
+    # Other values throughout, and one conflict: what lies before it counts, if it is long.
+    for k in range(20, 290, 4):
+        words[k] = str(k) if k < 250 else "24"
+        copy[k] = str(k + 1000) if k < 250 else str(k)
+    [(_, n, _, exact)] = items(" ".join(words)).matches(" ".join(copy))
+    assert 220 < n < 260 and not exact
+
+
+def test_template_stretches_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        n = rng.randint(12, 40)
+        kinds = [rng.random() < 0.4 for _ in range(n)]
+        item, doc = (templates.Template(" ".join(str(rng.randint(1, 4)) if slot else f"w{chr(97 + k % 26)}" for k, slot in enumerate(kinds))) for _ in range(2))
+        places = [p for p in range(n - 9) if rng.random() < 0.9]
+        good = {(a, b) for a in places for b in range(a + 1, n - 8) if set(range(a, b)) <= set(places) and templates.Items._consistent(doc, item, 0, list(range(a, b))) is not None}
+        longest = {(a, b) for a, b in good if (a - 1, b) not in good and (a, b + 1) not in good}
+        assert longest <= {s for s in templates.Items._stretches(doc, item, 0, places) if s[1] > s[0]} <= good if places else True
+
+
 def test_window_hashes_in_one_step():
     codes = np.random.default_rng(3).integers(0, 1 << 63, 50, dtype=np.uint64)
     for n in (1, 4, 10, 50):
