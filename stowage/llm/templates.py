@@ -8,8 +8,9 @@ benchmark items. Windows that match along one diagonal (the same distance
 between their places in document and item) are one occurrence; there the
 values in the slots must correspond one to one, which keeps re-parameterised
 questions and lets go of text that merely shares a template. Windows with slots
-are looked up by their plain words as well, so no window of an item is left
-out: where fewer than ``LITERAL`` words are literal only equal words match.
+are looked up by their plain words as well, whatever their case, so no window
+of an item is left out (where fewer than ``LITERAL`` words are literal only
+equal words match) and copies in small or capital letters are found.
 
 An occurrence counts from ``LEAST`` windows on (13 words in a row), or all of
 an item that has fewer (of its windows with enough literals, where slots have
@@ -61,13 +62,13 @@ def _code(word: str) -> int:
     """Hash and flags of a word; 0 for punctuation alone."""
     if word.isalpha():
         low = word.lower()
-        code = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) & int(_LOW) | 1
+        code = xxhash.xxh64_intdigest(word.casefold().encode("utf-8", "surrogatepass")) & int(_LOW) | 1
         return code | (int(_UNIT) if low in UNITS else int(_NAME) if word[0].isupper() and word[1:2].islower() else 0)
     core = _EDGE.sub("", word)
     if not core or not any(c.isalnum() for c in core):
         return int(_ENDS) if word[-1] in ".!?" else 0
     low = core.lower()
-    code = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) & int(_LOW) | 1
+    code = xxhash.xxh64_intdigest(core.casefold().encode("utf-8", "surrogatepass")) & int(_LOW) | 1
     if word.rstrip("\"')]}*%$&#")[-1:] in tuple(".!?:"):
         code |= int(_ENDS)
     if _NUMBER_OF.fullmatch(low):
@@ -137,7 +138,7 @@ class Template:
         return sums[self.width :] - sums[: len(sums) - self.width] >= min(LITERAL, self.width)
 
     def slot(self, k: int) -> str:
-        return _EDGE.sub("", self.words[self.at[k]]).lower()
+        return _EDGE.sub("", self.words[self.at[k]]).casefold()
 
 
 class Items:

@@ -310,6 +310,13 @@ def test_template_slot_rich_items(text):
     assert [(m[0], m[3]) for m in items(long).matches("So. " + changed + " Then the farmer walks slowly to Lyon with the two dogs")] == [(0, False)]
 
 
+@pytest.mark.parametrize("text", [QUESTION, "Wie viele Äpfel kauft Frau Weiß in der großen Straße, wenn jeder Apfel zwei Mark und jede Birne drei Mark kostet?"])
+def test_template_copies_in_another_case(text):
+    found = items(text)
+    for copy in (text.lower(), text.upper(), text.title(), text.swapcase()):
+        assert found.matches("so then: " + copy + " and on") == [(0, found.total[0], 1.0, True)]
+
+
 def test_template_conflicts_cost_no_more_than_their_windows():
     rng = random.Random(11)
     words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
