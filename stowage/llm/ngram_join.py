@@ -169,11 +169,12 @@ def _cell(table: pa.Table, threshold: float) -> pa.Table:
     nodes, copies, sizes = np.array([r["node"] for r in rows], np.int64), np.array([r["copies"] for r in rows], np.int64), np.array(list(map(len, sets)))
     a = sum(r["side"] == 0 for r in rows)
     linked = np.zeros((len(rows), len(rows)), bool)
-    if a == len(rows):
+    low_step, low, high_step, high = (table[c][0].as_py() for c in ("low_step", "low", "high_step", "high"))
+    if (low_step, low) == (high_step, high):  # one block with itself
         shared = _products(sets, None)
         linked = shared >= threshold * (sizes[:, None] + sizes[None] - shared) - 1e-6
         np.fill_diagonal(linked, False)
-    elif a:
+    elif 0 < a < len(rows):  # else the other block is empty
         shared = _products(sets[:a], sets[a:])
         linked[:a, a:] = shared >= threshold * (sizes[:a, None] + sizes[None, a:] - shared) - 1e-6
         linked |= linked.T

@@ -239,6 +239,13 @@ def test_ngram_join_equals_brute_force(spark, block):
     assert {(r.doc_id, r.class_id, r.n_links) for r in got} == brute_classes(ids, texts)
 
 
+def test_ngram_join_counts_once_where_blocks_are_empty(spark):
+    """Two blocks for two nodes: where one block has both, the cell of two blocks lacks one side."""
+    texts = [" ".join(f"w{base}x{k}" for k in range(300)) + f" end{j}" for base in range(8) for j in range(2)]
+    got = ngram_join.similar(table(spark, texts), block=1000).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == brute_classes(range(len(texts)), texts)
+
+
 def test_ngram_join_odd_rows(spark):
     got = ngram_join.similar(odd_table(spark)).collect()
     assert len(got) == 12
