@@ -5,7 +5,9 @@ a space), hashed into ``DIMS`` places, damped by the logarithm, weighted by
 inverse document frequency and scaled to length 1. Each language has several
 centroids, found by spherical k-means over a bounded sample of its labelled
 rows. A text gets the language of the centroid with the largest cosine; where
-even that is smaller than the language's own ``reach`` allows, it is rejected.
+even that is below the language's ``reach`` for texts of its length, it is
+rejected. The reach comes from a low quantile of the cosines of labelled rows
+that had no part in the centroids, so single odd rows don't matter.
 
 * Null texts and texts without a letter are ``und``, with score 0, and rejected.
 * Without any labelled row there is nothing to compare with: all is ``und``.
@@ -35,8 +37,12 @@ SAMPLE, CENTROIDS = 500, 4
 TOTAL = 20_000
 #: Languages told apart at most; of more, the ones with most rows.
 LANGUAGES = 1000
-#: A text is rejected below this share of the smallest cosine among its language's own sample.
-SLACK = 0.25
+#: A text is rejected below this share of this quantile of the held-out cosines among texts of its length.
+SLACK, QUANTILE = 0.6, 0.01
+#: Parts of the sample that are held out in turn, and rows that a class of lengths has at least.
+FOLDS, FEW = 4, 10
+#: Classes of lengths: powers of two of the number of different trigrams.
+LENGTHS = 14
 _SPACE = np.uint32(32)
 _letters: np.ndarray | None = None
 
@@ -71,7 +77,7 @@ class Model:
     owner: np.ndarray  # of each centroid, its language's number
     centroids: np.ndarray
     idf: np.ndarray
-    reach: np.ndarray
+    reach: np.ndarray  # of each language and class of lengths
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         rows = np.log1p(counts.astype(np.float32)) * self.idf
@@ -100,6 +106,49 @@ def _centroids(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return found
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """Of each row the logarithm of its number of different trigrams, rounded down."""
+    return np.log2(np.maximum((counts > 0).sum(1), 1)).astype(int)
+
+
+def _held_out(vectors: np.ndarray, of: np.ndarray, model: Model, k: int) -> np.ndarray:
+    """Of each row its largest cosine to a centroid, where those of its own language are fitted without it; NaN where none can be."""
+    out = np.full(len(vectors), np.nan)
+    for language in range(len(model.languages)):
+        rows = np.flatnonzero(of == language)
+        if len(rows) < 2:
+            continue
+        elsewhere = model.centroids[model.owner != language]
+        folds = min(FOLDS, len(rows))
+        for fold in range(folds):
+            mine = np.arange(len(rows)) % folds == fold
+            near = _centroids(vectors[rows[~mine]], k)
+            out[rows[mine]] = (vectors[rows[mine]] @ np.concatenate((near, elsewhere)).T).max(1)
+    return out
+
+
+def _reach(cosines: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The reach of each class of lengths; neighbouring classes with few rows are taken together."""
+    out = np.zeros(LENGTHS)
+    if not len(cosines):
+        return out
+    groups, first = [], 0
+    for j in range(LENGTHS):
+        if ((lengths >= first) & (lengths <= j)).sum() >= FEW:
+            groups.append((first, j))
+            first = j + 1
+    if not groups:
+        groups = [(0, LENGTHS - 1)]
+    groups[-1] = (groups[-1][0], LENGTHS - 1)
+    for a, b in groups:
+        some = (lengths >= a) & (lengths <= b)
+        out[a : b + 1] = SLACK * np.quantile(cosines[some], QUANTILE, method="lower")
+    # Of texts shorter than any nothing is known but that cosines fall about with the root of the length.
+    shortest = lengths.min()
+    out[:shortest] *= np.sqrt(0.5) ** (shortest - np.arange(shortest))
+    return out
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """A model of rows (doc_id, text, lang); ``sample`` rows of each language are used, spread by a hash of doc_id."""
     rows = labelled.where(F.col("lang").isNotNull())
@@ -136,7 +185,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     vectors, of = model.vectors(counts), np.array([languages.index(x[0]) for x in found])
     each = [_centroids(vectors[of == k], centroids) for k in range(len(languages))]
     model.owner, model.centroids = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each)
-    model.reach = np.array([SLACK * (vectors[of == k] @ each[k].T).max(1).min() for k in range(len(each))], np.float32)
+    cosines, lengths = _held_out(vectors, of, model, centroids), length_class(counts)
+    known = ~np.isnan(cosines)
+    together = _reach(cosines[known], lengths[known])
+    # A language with few rows has the reach of all together.
+    own = [known & (of == k) for k in range(len(each))]
+    model.reach = np.array([_reach(cosines[x], lengths[x]) if x.sum() >= FEW else together for x in own], np.float32)
     return model
 
 
@@ -147,10 +201,11 @@ def nearest(texts: list[str | None], model: Model | None) -> tuple[list[str], np
     counts = [trigram_counts(x) for x in texts] if model else []
     at = [k for k, c in enumerate(counts) if c is not None]
     if at:
-        cosines = model.cosines(np.stack([counts[k] for k in at]))
+        found = np.stack([counts[k] for k in at])
+        cosines = model.cosines(found)
         best = cosines.argmax(1)
         score[at] = np.clip(cosines[np.arange(len(at)), best], 0, 1)
-        rejected[at] = score[at] < model.reach[best]
+        rejected[at] = score[at] < model.reach[best, length_class(found)]
         for k, b in zip(at, best, strict=True):
             lang[k] = model.languages[b]
     return lang, score, rejected

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import zlib
@@ -545,6 +546,28 @@ def test_language_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1000 + k for k, _, _ in rows}
 
 
+JUNK = {
+    "base64": base64.b64encode(random.Random(3).randbytes(2250)).decode(),
+    "hex": "".join(random.Random(4).choices("0123456789abcdef", k=6000)),
+    "letters": "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz     ", k=500)),
+    "italian": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita.",
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+}
+
+
+def test_language_junk_is_rejected(spark):
+    """On the sample tables: what is in none of their languages goes, labelled rows stay, whatever single odd rows say."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    odd = table(spark, ["zq xj"], [-1], ["en"]).select(docs.columns)
+    labelled = [r for r in docs.collect() if r.lang and langid.trigram_counts(r.text) is not None]
+    model = langid.fit(docs.unionByName(odd))
+    lang, score, rejected = langid.nearest([*JUNK.values()], model)
+    assert rejected.all(), dict(zip(JUNK, zip(lang, score, rejected, strict=True), strict=True))
+    held = langid.fit(docs.where("doc_id % 4 != 2"))
+    _, _, rejected = langid.nearest([r.text for r in labelled if r.doc_id % 4 == 2], held)
+    assert rejected.mean() <= 0.002
+
+
 # 10 quality
 
 
