@@ -382,6 +382,107 @@ def test_decontamination_finds_planted_passages(spark):
     assert templates.decontaminate(docs.limit(0), benchmark).count() == 0
 
 
+def plain_words(text):
+    """(kind, word) of each word, as the rules say, for texts of plain words, numbers, names and stops."""
+    out, fresh, before = [], True, None
+    for word in text.split():
+        core = word.strip(".,!?").casefold()
+        kind = "number" if core.isdigit() else "unit" if core in templates.UNITS and before == "number" else "name" if word[0].isupper() and not fresh else ""
+        out.append((kind, core))
+        fresh, before = word[-1] in ".!?", kind
+    return out
+
+
+def plain_matches(item, doc):
+    """(windows, exact) of the best occurrence of an item, with every place compared to every place; None if there is none."""
+    a, b = plain_words(item), plain_words(doc)
+    n = min(10, len(a))
+    if not a or len(a) < templates.SHORT and len(a) != len(b):
+        return None
+    shape = lambda x: [k or w for k, w in x]
+    literals = [sum(not k for k, _ in a[p : p + n]) >= min(6, n) for p in range(len(a) - n + 1)]
+
+    def holds(shift, places):
+        pairs = {(a[p + j], b[p + j + shift]) for p in places for j in range(n) if a[p + j][0]}
+        pairs = {((x[0], x[1]), (x[0], y[1])) for x, y in pairs}
+        if len({x for x, _ in pairs}) < len(pairs) or len({y for _, y in pairs}) < len(pairs):
+            return None
+        return all(x == y for x, y in pairs)
+
+    best = None
+    for shift in range(-len(a), len(b)):
+        every, same, alike = [], [], []
+        for p in range(len(a) - n + 1):
+            x, y = a[p : p + n], b[p + shift : p + shift + n] if p + shift >= 0 else []
+            equal = [w for _, w in x] == [w for _, w in y]
+            if equal:
+                same.append(p)
+            if len(y) == n and shape(x) == shape(y) and literals[p] or equal and not any(k for k, _ in x):
+                alike.append(p)
+            if equal or p in alike:
+                every.append(p)
+        least = min(4, len(literals))
+        for some, enough in ((every, least), (same, least), (alike, min(4, sum(literals)))):
+            if some and len(some) >= enough and holds(shift, some) is not None:
+                best = max(best or (0, False), (len(some), holds(shift, some)))
+        for i in range(len(every)):
+            for j in range(i + 30, len(every) + 1):
+                if every[j - 1] - every[i] == j - i - 1 and holds(shift, every[i:j]) is not None:
+                    best = max(best or (0, False), (j - i, holds(shift, every[i:j])))
+    return best
+
+
+def reworded(rng, text):
+    """A copy with other values, mostly one for one, in another case, or with a word changed."""
+    words, to = text.split(), {}
+    how = rng.random()
+    for k, w in enumerate(words):
+        core = w.strip(".,!?")
+        if how < 0.5 and (core.isdigit() or core[:1].isupper() and k):
+            new = to.setdefault(core, str(rng.randint(1, 99)) if core.isdigit() else rng.choice(["Oslo", "Quito", "Turin", "Anna", "Omar"]))
+            words[k] = w.replace(core, new if rng.random() < 0.97 else "7")
+    if how > 0.9:
+        words[rng.randrange(len(words))] = "other"
+    return " ".join(words).lower() if 0.5 < how < 0.6 else " ".join(words)
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+
+    def sentence(n):
+        out = []
+        while len(out) < n:
+            x = rng.random()
+            out += [str(rng.randint(1, 30)), "km"] if x < 0.08 else [str(rng.randint(1, 30))] if x < 0.2 else [rng.choice(["Boston", "Paris", "Lyon", "Anna"])] if x < 0.3 else [rng.choice(words) + rng.choice(["", "", "", ",", "."])]
+        return " ".join(out[:n])
+
+    bench = [sentence(n) for n in (1, 2, 3, 5, 9, 10, 12, 13, 16, 20, 25, 30, 45, 60)] + [" ".join(str(rng.randint(1, 99)) for _ in range(17)), "paris", "Boston 12"]
+    docs = ["paris", "so Paris it is", "boston 12", "in Boston 12 men"]
+    for k in range(140):
+        item = bench[k % len(bench)]
+        docs.append(" ".join([sentence(rng.randint(0, 8)), reworded(rng, item), sentence(rng.randint(0, 8))]))
+    want = {(d, i, *m) for d, doc in enumerate(docs) for i, item in enumerate(bench) for m in [plain_matches(item, doc)] if m}
+    benchmark = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    for block in (templates.BLOCK, 2000):
+        got = templates.contaminated(table(spark, docs), benchmark, block).collect()
+        assert {(r.doc_id, r.item_id, r.windows, r.exact) for r in got} == want
+    assert {d for d, i, *_ in want if i >= 15} >= {0, 2} and not {d for d, *_ in want} & {1, 3}
+    assert len({d for d, *_ in want}) > 70 and any(not x[3] for x in want)
+    index = items(*bench)
+    assert {(d, m[0], m[1], m[3]) for d, doc in enumerate(docs) for m in index.matches(doc)} == want
+
+
+def test_decontamination_repeated_rows(spark):
+    """Copies, repeated ids and null ids each get their rows; other columns stay as they are."""
+    text = "the " + QUESTION
+    docs = table(spark, [text, text, text, "clean words here", None, text], [1, 1, 2, 1, None, None])
+    benchmark = spark.createDataFrame([(5, QUESTION, "a"), (5, QUESTION, "a"), (None, QUESTION, "b"), (6, "  ", "c")], "item_id long, text string, hash string")
+    got = templates.contaminated(docs, benchmark).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == sorted([(d, i) for d in (1, 1, 2, None) for i in (5, None)], key=str)
+    assert sorted(str(r.doc_id) for r in templates.decontaminate(docs, benchmark).collect()) == ["1", "None"]
+
+
 # 7 personal data
 
 
