@@ -3,8 +3,9 @@
 1. Every text becomes the set of its word 5-grams, a digest of that set, and
    band hashes of its MinHash signature. ``bands_for`` picks bands and rows so
    that a pair at the threshold shares a band with the wanted probability.
-2. Documents of one set are one *node*, named by its smallest doc_id: copies
-   collapse before anything is compared.
+2. Documents of one set are one *node* with a number of its own: copies
+   collapse before anything is compared, and rows that share a doc_id but not
+   their words are nodes of their own.
 3. Each bucket of a band links its nodes to its smallest one: as many links as
    nodes, never pairs. The components of these links are the only places where
    similar pairs can be.
@@ -19,8 +20,10 @@ Intermediate tables are written to the shared folder, where lineage ends.
 
 * Texts without a word (null, empty, punctuation) link with nothing.
 * Texts of fewer words than an n-gram are one gram of all their words.
-* A document with a null doc_id has class null and no links. Rows of one doc_id
-  and text repeat in the result; copies count as links of each other.
+* A document with a null doc_id has class null and no links. Each row is a
+  document: rows of one doc_id repeat in the result, each with the answer for
+  its own text, and copies count as links of each other. A class is named by
+  its smallest doc_id, so classes can share a name where texts share an id.
 * Only doc_id and text are read; extra columns are ignored. An empty table
   gives no rows.
 """
@@ -94,7 +97,7 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key (digest of the set; null if it is empty), n (its size), bands."""
+    """doc_id, key (digest of the set; null if it is empty), hash (of the text), n (the set's size), bands."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [grams(x, n) for x in batch.column("text").to_pylist()]
@@ -103,9 +106,14 @@ def described(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         for k, row in zip(some, signatures([sets[k] for k in some], bands, rows).view(np.int64).tolist() if some else [], strict=True):
             found[k] = row
         keys = pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, pa.array(list(map(len, sets)), pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, batch.column("hash"), pa.array(list(map(len, sets)), pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "hash", "n", "bands"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, key binary, n int, bands array<long>", remember=False)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _hash().alias("hash")), run, "doc_id long, key binary, hash long, n int, bands array<long>", remember=False)
+
+
+def _hash() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -189,25 +197,22 @@ def _cell(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"node": nodes, "links": links.astype(np.int64), "other": nodes[label]})
 
 
-def similar(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links, copies of every row.
-
-    class_id is the smallest doc_id that links lead to, n_links the number of
-    other documents with at least the threshold's similarity, copies that of
-    the documents with this very set of n-grams.
-    """
+def _compared(docs: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, key, hash of every row; and of every key class_id, n_links, copies, and the doc_id and hash of the row that stands for its class."""
     bands, rows = bands_for(threshold, recall)
     every = stored(described(docs, n, bands, rows), "described")
+    # Numbers are given as the table is written, and read from there ever after.
     nodes = stored(
         every.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        .groupBy("key").agg(F.min(F.struct("doc_id", "hash")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .select(F.monotonically_increasing_id().alias("node"), "key", "row.doc_id", "row.hash", "copies", "n", "bands"),
         "nodes",
     )
     in_band = nodes.select("node", F.explode("bands").alias("band"))
     buckets = stored(in_band.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "center"), "buckets")
     candidates = in_band.join(buckets, "band").where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     near = components(candidates, "candidates")
-    members = near.join(nodes.select("node", "key", "n", "copies"), "node")
+    members = near.join(nodes.select("node", "key", "doc_id", "hash", "n", "copies"), "node")
 
     # Sizes that differ by more than one step of the threshold can't be similar.
     members = stored(members.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int")), "members")
@@ -238,7 +243,7 @@ def similar(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall
             F.transform(numbers(F.col("before")), lambda j: cell(step - 1, j, step, mine, F.lit(1))),
         )
     )
-    placed = stored(members.join(parts, ["root", "step"]).select("root", "node", "key", "copies", cells.alias("cells")), "placed")
+    placed = stored(members.join(parts, ["root", "step"]).select("root", "node", "key", "doc_id", "hash", "copies", cells.alias("cells")), "placed")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [grams(x, n) for x in batch.column("text").to_pylist()]
@@ -246,8 +251,10 @@ def similar(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall
         out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "node", "copies", "cells")), pa.array([s.tobytes() for s in found], pa.binary())], ["root", "node", "copies", "cells", "grams"])
         return out.filter(keep)
 
-    # Always by a shuffle: what is placed grows with the documents, so it is no side to broadcast.
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed.hint("merge"), "node")
+    # Always by a shuffle: what is placed grows with the documents, so it is no side to broadcast. Rows that are
+    # equal in id and text become one on the side that reads them, so that no key is hot and no node is there twice.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash().alias("hash"), "text").groupBy("doc_id", "hash").agg(F.first("text").alias("text"))
+    texts = texts.join(placed.hint("merge"), ["doc_id", "hash"])
     kind = placed.schema["cells"].dataType.simpleString()
     with_sets = map_batches(texts.select("root", "node", "copies", "cells", "key", "text"), sets, f"root long, node long, copies long, cells {kind}, grams binary", remember=False)
     in_cells = with_sets.select("root", "node", "copies", "grams", F.explode("cells").alias("cell")).select("root", "node", "copies", "grams", "cell.*")
@@ -257,26 +264,47 @@ def similar(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall
     )
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(compared.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")), "links")
-    classes = linked.withColumnRenamed("root", "class_id")
+    first = linked.join(nodes.select("node", "doc_id", "hash"), "node").groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    classes = linked.join(first, "root").select("node", "first")
     known = stored(
-        nodes.select("key", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
-        .select("key", "copies", F.coalesce("class_id", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+        nodes.select("key", "node", "copies", F.struct("doc_id", "hash").alias("own")).join(links, "node", "left").join(classes, "node", "left")
+        .select("key", "copies", F.coalesce("first", "own").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("key", "copies", F.col("first.doc_id").alias("class_id"), F.col("first.hash").alias("class_hash"), "n_links"),
         "known",
     )
     drop(nodes, buckets, near, members, parts, placed, compared, linked)
+    return every.select("doc_id", "key", "hash"), known
+
+
+def similar(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, n_links, copies of every row.
+
+    class_id is the smallest doc_id that links lead to, n_links the number of
+    other documents with at least the threshold's similarity, copies that of
+    the documents with this very set of n-grams.
+    """
+    every, known = _compared(docs, n, threshold, recall, block)
+    there = F.col("doc_id").isNotNull()
     return (
-        every.select("doc_id", "key").join(known, "key", "left")
+        every.join(known, "key", "left")
         .select(
             "doc_id",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("copies", F.lit(1))).otherwise(1).cast("long").alias("copies"),
+            F.when(there, F.coalesce("class_id", "doc_id")).alias("class_id"),
+            F.when(there, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+            F.when(there, F.coalesce("copies", F.lit(1))).otherwise(1).cast("long").alias("copies"),
         )
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of one document of each class: its smallest doc_id. Rows without a doc_id stay."""
-    kept = stored(similar(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    stay = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs``, all columns, of one document of each class: its smallest doc_id.
+
+    Of rows that are equal in id and text one stays; of a class's texts with its
+    smallest doc_id one stays as well. Rows without a doc_id stay.
+    """
+    every, known = _compared(docs, GRAM, THRESHOLD, RECALL, BLOCK)
+    alone = every.where(F.col("key").isNull() & F.col("doc_id").isNotNull()).select("doc_id", "hash")
+    kept = stored(known.select(F.col("class_id").alias("doc_id"), F.col("class_hash").alias("hash")).unionByName(alone).distinct().select(F.col("doc_id").alias("_kept"), F.col("hash").alias("_hash")), "kept")
+    rows = docs.withColumn("_text_hash", _hash())
+    stay = rows.join(kept, (rows["doc_id"] == kept["_kept"]) & (rows["_text_hash"] == kept["_hash"]), "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return stay.drop("_text_hash").unionByName(docs.where(F.col("doc_id").isNull()))

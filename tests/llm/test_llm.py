@@ -259,6 +259,49 @@ def test_ngram_join_odd_rows(spark):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_ngram_join_repeated_ids(spark):
+    """Rows that share an id but no text are documents of their own: no link and no text is lost."""
+    a, b = (" ".join(random.Random(k).choices("abcdefghijklmnopqrstuvw", k=120)) for k in (1, 2))
+    docs = table(spark, [a, b, a + " end", b + " end", "...", "", "...", b], [1, 1, 2, 3, 1, 1, 1, 1])
+    got = ngram_join.similar(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(1, 1, 0)] * 3 + [(1, 1, 1)] + [(1, 1, 2)] * 2 + [(2, 1, 1), (3, 1, 2)]
+    assert sorted((r.doc_id, r.text) for r in ngram_join.one_of_each(docs).collect()) == sorted([(1, a), (1, b), (1, "..."), (1, "")])
+
+
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 3000])
+def test_ngram_join_clashing_ids_equal_brute_force(spark, block):
+    texts = near_copies(14, 17)
+    rng = random.Random(3)
+    texts += rng.choices(texts, k=20)
+    ids = [rng.randint(0, 25) for _ in texts]
+    want = sorted(brute_rows(ids, texts))
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar(table(spark, texts, ids), block=block).collect()) == want
+    # One text of each class stays: no two of them are near copies, and each row has a near copy among them.
+    kept = [set(ngram_join.grams(r.text).tolist()) for r in ngram_join.one_of_each(table(spark, texts, ids)).collect()]
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    assert not any(near(x, y) for k, x in enumerate(kept) for y in kept[:k])
+    assert len(kept) == len(brute_components(texts))
+
+
+def brute_components(texts):
+    sets = [set(ngram_join.grams(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return [[k for k in range(len(texts)) if root[k] == r] for r in sorted(set(root))]
+
+
+def brute_rows(ids, texts):
+    """Of each row its id, class and links, whatever ids repeat."""
+    sets = [set(ngram_join.grams(t).tolist()) for t in texts]
+    for group in brute_components(texts):
+        for k in group:
+            yield ids[k], min(ids[j] for j in group), sum(j != k and len(sets[j] & sets[k]) >= 0.8 * len(sets[j] | sets[k]) for j in group)
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.bands_for(0.8, 0.9995, 256)
     assert bands * rows <= 256 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
