@@ -3,8 +3,13 @@
 ``base_spans`` finds e-mail addresses, IP addresses, card and phone numbers by
 fixed patterns, in time linear in the text. The tagger (``tagger.py``), trained
 on labelled texts, reads every character of the whole text and adds spans of
-the same kinds in other forms; what it adds must still have the digits or parts
-of its kind and must not lie inside a base span. Base spans always stay.
+the same kinds in other forms, of any length; what it adds must still have the
+digits or parts of its kind (``_plausible``) and must not lie inside a base span
+or overlap one, unless it goes on from one of its kind without a blank. Base
+spans always stay.
+
+The tagger is fitted on the driver at its first use in a session, by a fixed
+seed (about 15 seconds); ``fitted`` keeps its weights in a file for later ones.
 
 * Null and empty texts have no spans. Positions count code points.
 * Spans of different kinds may overlap; of equal ones a span is given once.
@@ -20,7 +25,7 @@ import re
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import tagger
@@ -106,7 +111,8 @@ def added_spans(text: str, base: list[Span], tagged: list[tuple[int, int, int]])
         while a < b and not (text[b - 1].isalnum() or text[b - 1] in ")]"):
             b -= 1
         kind = KINDS[k]
-        if b - a <= 64 and _plausible(kind, text[a:b]) and not any(x < b and a < y and not (kind == own and a <= x and y <= b and b - a > y - x) for own, x, y in base):
+        # Where a base span is only a part of it, the rest must go on without a blank.
+        if _plausible(kind, text[a:b]) and not any(x < b and a < y and not (kind == own and a <= x and y <= b and b - a > y - x and not any(map(str.isspace, text[a:x] + text[y:b]))) for own, x, y in base):
             out.append((kind, a, b))
     return out
 
@@ -156,7 +162,7 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
     def harmless() -> str:
         return rng.choice([
-            str(rng.randint(1, 2030)), f"{rng.randint(0, 99)}.{number(2)}", f"{number(2)}:{number(2)}", f"{rng.randint(1900, 2030)}-{number(2)}-{number(2)}", f"${number(3)},{number(3)}", f"v{number(1)}.{number(1)}.{number(1)}", f'token = "{rng.randbytes(20).hex()}"', f"#{number(6)}", f"{number(3)}%", f"({number(2)})", f"{word()}/{word()}", f"{word()}.{word(True)}", f"{number(9)}", f"{number(5)}-{number(1)}", "| " + word() + " |", word().upper() + "!!", word() + rng.choice(["%%%", "***", "$$$", "&&&", "###"]), f"@ {word()}", "at " + word() + " dot", f"{number(1)} - {number(2)} ({number(2)})",
+            str(rng.randint(1, 2030)), f"{rng.randint(0, 99)}.{number(2)}", f"{number(2)}:{number(2)}", f"{rng.randint(1900, 2030)}-{number(2)}-{number(2)}", f"${number(3)},{number(3)}", f"v{number(1)}.{number(1)}.{number(1)}", f'token = "{rng.randbytes(20).hex()}"', f"#{number(6)}", f"{number(3)}%", f"({number(2)})", f"{word()}/{word()}", f"{word()}.{word(True)}", f"{number(9)}", f"{number(5)}-{number(1)}", "| " + word() + " |", word().upper() + "!!", word() + rng.choice(["%%%", "***", "$$$", "&&&", "###"]), f"@ {word()}", "at " + word() + " dot", f"{number(1)} - {number(2)} ({number(2)})", f"ISBN 97{rng.choice('89')}-{number(1)}-{number(2)}-{number(6)}-{number(1)}", f"no. {number(4)}-{number(2)}-{number(3)}",
         ])
 
     out = []
@@ -185,6 +191,18 @@ def default_model() -> tagger.Model:
     return tagger.train(examples(9600), KINDS)
 
 
+def fitted(spark: SparkSession, path: str) -> tagger.Model:
+    """The default model from a file that Spark's file systems reach; fitted and written there where it is missing."""
+    if not _exists(spark, path):
+        spark.createDataFrame([(default_model().saved(),)], "weights binary").coalesce(1).write.parquet(path)
+    return tagger.Model.loaded(spark.read.schema("weights binary").parquet(path).first().weights)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def find(texts: list[str | None], model: tagger.Model) -> list[tuple[list[Span], list[Span]]]:
     """Of each text its base spans and all its spans."""
     out = []

@@ -4,21 +4,31 @@ Sizes are small enough to read every character of a large corpus on CPUs: the
 gates are piecewise linear, states are laid out with windows side by side, and
 the only transitions are into, within and out of a kind.
 
-``train`` fits all weights by gradients through time of the CRF's likelihood;
-``Model.decode`` gives the best tags of each window of a text and reconciles
-the windows: where two overlap, each has its say on its own side of the middle.
+``train`` fits all weights by gradients through time of the CRF's likelihood.
+
+``Model.decode`` reads a text in overlapping windows and mixes their scores
+where they overlap, each the less the nearer its end. Over the mixed scores of
+the whole text the one best path of tags is found: stretches are decoded side by
+side, and where one ends, its scores must prove that the best path is outside
+there, whatever follows; if they don't, the stretch and the next are decoded as
+one. So windows and stretches never change what is found.
 """
 
 from __future__ import annotations
 
+import bisect
+import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 #: Characters in a window at most, and how many it shares with the next.
 WINDOW, OVERLAP = 1024, 64
-#: Windows that are tagged side by side.
+#: Windows that are read side by side.
 BESIDE = 768
+#: Characters of texts whose scores are held at once; those of a longer text are held alone.
+HELD = 1 << 21
 HIDDEN, EMBEDDED = 8, 8
 _SIGNS = " \n\t@.,-+()_%:;/|\"'=#&*!?$<>[]"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -94,13 +104,22 @@ class Model:
                 scores[t] += s
         return scores
 
-    def best(self, scores: np.ndarray) -> np.ndarray:
-        """(T, B) the best tags by Viterbi's algorithm."""
+    def best(self, scores: np.ndarray, lengths: np.ndarray | None = None, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(T, B) the best tags by Viterbi's algorithm, and whether that is sure for each column.
+
+        Columns end at ``lengths``. Where there is text ``before``, a column goes on from a tag that is outside;
+        where there is text ``behind``, it is sure only if whatever follows has its best predecessor outside.
+        """
         steps, tags, beside = scores.shape
+        lengths = np.full(beside, steps) if lengths is None else lengths
+        full = int(lengths.min()) if beside else 0
         enter, stay, leave = self.enter[:, None], self.stay[:, None], self.leave[:, None]
         stays = np.empty((steps, tags - 1, beside), bool)  # whether a kind's best predecessor is the kind itself
         source = np.zeros((steps, beside), np.uint8)  # the best predecessor of the outside
         now = scores[0].copy()
+        if before is not None:
+            now[0] += np.where(before, self.outside, 0)
+            now[1:] += np.where(before, enter, 0)
         for t in range(1, steps):
             within, into = now[1:] + stay, now[:1] + enter
             np.greater(within, into, out=stays[t])
@@ -109,11 +128,19 @@ class Model:
             some = np.flatnonzero(top > none)
             if len(some):
                 source[t, some] = 1 + left[:, some].argmax(0)
-            np.maximum(top, none, out=now[0])
-            np.maximum(within, into, out=now[1:])
-            now += scores[t]
-        tags_out = np.empty((steps, beside), np.uint8)
-        tag = tags_out[-1] = now.argmax(0).astype(np.uint8)
+            new = now if t < full else np.empty_like(now)  # some columns have ended
+            np.maximum(top, none, out=new[0])
+            np.maximum(within, into, out=new[1:])
+            new += scores[t]
+            now = now if t < full else np.where(t < lengths, new, now)
+        last, sure = now.argmax(0).astype(np.uint8), np.ones(beside, bool)
+        if behind is not None:
+            ends = ((now[0] + self.outside >= now[1:] + leave) & (now[:1] + enter >= now[1:] + stay)).all(0)
+            sure = ends | ~behind
+            last = np.where(ends & behind, 0, last).astype(np.uint8)
+        tags_out = np.zeros((steps, beside), np.uint8)
+        tag = np.where(lengths == steps, last, 0).astype(np.uint8)
+        tags_out[-1] = tag
         everyone = np.arange(beside)
         for t in range(steps - 1, 0, -1):
             if tag.any():
@@ -121,31 +148,95 @@ class Model:
                 tag = np.where(tag == 0, source[t], np.where(kept, tag, 0)).astype(np.uint8)
             else:
                 tag = source[t]
+            if t >= full:  # some columns end here, and none has begun behind its end
+                tag = np.where(lengths > t, tag, np.where(lengths == t, last, 0)).astype(np.uint8)
             tags_out[t - 1] = tag
-        return tags_out
+        return tags_out, sure
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """Of each text the spans (kind, start, end) of equal tags, over its whole length."""
-        numbers = [symbols(x) for x in texts]
-        cuts = []  # (length, text, start of the window)
-        for k, x in enumerate(numbers):
+        """Of each text the spans (kind, start, end) of equal tags on its best path."""
+        out: list[list[tuple[int, int, int]]] = []
+        for some in _held(texts):
+            numbers = [symbols(x) for x in some]
+            out += map(self._spans, self._paths([len(x) for x in numbers], self._scores(numbers)))
+        return out
+
+    def _scores(self, numbers: list[np.ndarray]) -> np.ndarray:
+        """(tags, N) mixed scores of the windows of all texts, one text behind the other."""
+        firsts = np.concatenate(([0], np.cumsum([len(x) for x in numbers], dtype=int)))
+        joined = np.concatenate(numbers) if numbers else np.zeros(0, np.uint8)
+        cuts = []  # (length, start, whether a window of the text comes before, whether one comes behind)
+        for first, x in zip(firsts.tolist(), numbers, strict=False):
             n = max(1, -(-(len(x) - OVERLAP) // (WINDOW - OVERLAP))) if len(x) else 0
             step = -(-(len(x) - OVERLAP) // n) if n > 1 else len(x)
-            cuts += [(min(len(x) - j * step, step + OVERLAP) if n > 1 else len(x), k, j * step) for j in range(n)]
+            cuts += [(min(len(x) - j * step, step + OVERLAP) if n > 1 else len(x), first + j * step, j > 0, j + 1 < n) for j in range(n)]
         cuts.sort()
-        tags = [np.zeros(len(x), np.uint8) for x in numbers]
+        out = np.zeros((len(self.out), len(joined)), _F)
+        rise = ((np.arange(OVERLAP, dtype=_F) + _F(0.5)) / OVERLAP)[:, None]
         for a in range(0, len(cuts), BESIDE):
             some = cuts[a : a + BESIDE]
             at = np.zeros((some[-1][0], len(some)), np.uint8)
-            for b, (n, k, start) in enumerate(some):
-                at[:n, b] = numbers[k][start : start + n]
-            found = self.best(self.emissions(at, np.array([n for n, _, _ in some])))
-            for b in np.flatnonzero(found.any(0)):
-                n, k, start = some[b]
-                low = OVERLAP // 2 if start else 0
-                high = n - OVERLAP // 2 if start + n < len(tags[k]) else n
-                tags[k][start + low : start + high] = found[low:high, b]
-        return [self._spans(x) for x in tags]
+            for b, (n, start, _, _) in enumerate(some):
+                at[:n, b] = joined[start : start + n]
+            scores = self.emissions(at, np.array([c[0] for c in some])).transpose(2, 0, 1)
+            for own, (n, start, before, behind) in zip(scores, some, strict=True):
+                own = own[:n]
+                if before:
+                    own[:OVERLAP] *= rise
+                if behind:
+                    own[-OVERLAP:] *= rise[::-1]
+                out[:, start : start + n] += own.T
+        return out
+
+    def _paths(self, lengths: list[int], scores: np.ndarray, stretch: int = WINDOW) -> Iterator[np.ndarray]:
+        """Of each text the tags of the best path through its scores."""
+        firsts = np.concatenate(([0], np.cumsum(lengths, dtype=int))).tolist()
+        tags = np.zeros(scores.shape[1], np.uint8)
+        todo = []  # (length, start, whether text comes before, whether text comes behind)
+        for first, n in zip(firsts, lengths, strict=False):
+            todo += [(min(stretch, n - j), first + j, j > 0, j + stretch < n) for j in range(0, n, stretch)]
+        borders = {start for _, start, _, _ in todo} | {firsts[-1]}
+        while todo:
+            todo.sort()
+            unsure = []
+            for a in range(0, len(todo), BESIDE):
+                some = todo[a : a + BESIDE]
+                own = np.zeros((some[-1][0], len(self.out), len(some)), _F)
+                for b, (n, start, _, _) in enumerate(some):
+                    own[:n, :, b] = scores[:, start : start + n].T
+                size, _, before, behind = (np.array(x) for x in zip(*some, strict=True))
+                found, sure = self.best(own, size, before, behind)
+                for b, (n, start, _, _) in enumerate(some):
+                    tags[start : start + n] = found[:n, b]
+                unsure += [some[b] for b in np.flatnonzero(~sure)]
+            todo = self._joined(unsure, firsts, borders)
+        return (tags[a : a + n] for a, n in zip(firsts, lengths, strict=False))
+
+    @staticmethod
+    def _joined(unsure: list[tuple[int, int, bool, bool]], firsts: list[int], borders: set[int]) -> list[tuple[int, int, bool, bool]]:
+        """Unsure stretches, each with at least as much again of what follows, up to where a stretch ends; those that meet become one."""
+        out: list[tuple[int, int, bool, bool]] = []
+        known = sorted(borders)
+        for n, start, before, _ in sorted(unsure, key=lambda x: x[1]):
+            if out and start < out[-1][1] + out[-1][0]:
+                n, start, before, _ = out.pop()
+            end = firsts[bisect.bisect_right(firsts, start)]
+            to = min(end, known[bisect.bisect_left(known, min(end, start + 2 * n))])
+            out.append((to - start, start, before, to < end))
+        for n, start, _, _ in out:
+            borders.difference_update(known[bisect.bisect_right(known, start) : bisect.bisect_left(known, start + n)])
+        return out
+
+    def saved(self) -> bytes:
+        """All weights, for ``loaded``."""
+        file = io.BytesIO()
+        np.savez(file, kinds=np.array(self.kinds), embedding=self.embedding, cell0=self.cells[0], cell1=self.cells[1], out=self.out, enter=self.enter, stay=self.stay, leave=self.leave, outside=self.outside)
+        return file.getvalue()
+
+    @classmethod
+    def loaded(cls, data: bytes) -> Model:
+        x = np.load(io.BytesIO(data))
+        return cls(tuple(x["kinds"].tolist()), x["embedding"], [x["cell0"], x["cell1"]], x["out"], x["enter"], x["stay"], x["leave"], float(x["outside"]))
 
     @staticmethod
     def _spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -155,6 +246,19 @@ class Model:
         return [(int(tags[a]) - 1, int(a), int(b)) for a, b in zip(edges, edges[1:], strict=False) if tags[a]]
 
 
+def _held(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of bounded size."""
+    some, size = [], 0
+    for x in texts:
+        if some and size + len(x) > HELD:
+            yield some
+            some, size = [], 0
+        some.append(x)
+        size += len(x)
+    if some:
+        yield some
+
+
 def _grow(x: np.ndarray) -> np.ndarray:
     """Slope of a clipped line, with a leak so that no unit is lost for good."""
     return np.where((x > 0) & (x < 1), _F(1), _F(0.02))

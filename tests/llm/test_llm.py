@@ -596,6 +596,138 @@ def test_tagger_gradients():
     assert abs((high - tagger._likelihood(m, scores, tags)[0]) / 2e-5 - more["stay"][0]) < 1e-2
 
 
+def plain_best(model, scores):
+    """The best path over (T, tags) scores, by comparing all transitions."""
+    n = scores.shape[1]
+    move = np.full((n, n), -1e9)
+    move[0, 0] = model.outside
+    move[0, 1:], move[1:, 0] = model.enter, model.leave
+    move[np.arange(1, n), np.arange(1, n)] = model.stay
+    now, back = scores[0].astype(float), []
+    for row in scores[1:]:
+        all_ways = now[:, None] + move
+        back.append(all_ways.argmax(0))
+        now = all_ways.max(0) + row
+    path = [int(now.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1], float(now.max())
+
+
+def path_score(model, scores, path):
+    total = scores[0, path[0]]
+    for t in range(1, len(path)):
+        a, b = path[t - 1], path[t]
+        total += scores[t, b] + (model.outside if a == b == 0 else model.stay[b - 1] if a == b else model.enter[b - 1] if a == 0 else model.leave[a - 1] if b == 0 else -1e9)
+    return total
+
+
+def test_paths_are_globally_best():
+    """Stretches of any length give the path over the whole text, also where spans cross many of them."""
+    rng = np.random.default_rng(4)
+    m = tagger.Model(("a", "b"), None, [None, None], np.zeros((3, 17)), np.array([-2.0, -1.5], np.float32), np.array([1.0, 0.6], np.float32), np.array([-1.0, -0.4], np.float32), 1.0)
+    for stretch in (1, 2, 5, 16, 1000):
+        lengths = [0, 1, 7, 64, 200, 3, 50]
+        scores = rng.normal(size=(3, sum(lengths))).astype(np.float32) * 1.5
+        scores[1, 80:230] += 1.5  # long spans
+        at = 0
+        for n, tags in zip(lengths, m._paths(lengths, scores, stretch), strict=True):
+            own, at = scores[:, at : at + n].T, at + n
+            if n:
+                best, value = plain_best(m, own)
+                assert abs(path_score(m, own, tags.tolist()) - value) < 1e-3, (stretch, n)
+                assert tags.tolist() == best
+
+
+def test_scores_of_windows_and_lstm_against_plain_steps(model):
+    """Scores of one window against the LSTM written out; of many windows against a mix of single ones."""
+    text = pii.examples(1, 5)[0][0]
+    x = tagger.symbols(text)
+    want = np.tile(model.out[:, -1], (len(x), 1)).astype(float)
+    for way, cell in enumerate(model.cells):
+        h = c = np.zeros(tagger.HIDDEN)
+        for t in range(len(x)) if way == 0 else range(len(x) - 1, -1, -1):
+            z = np.clip(cell @ np.concatenate([h, model.embedding[:, x[t]], [1]]), 0, 1)
+            i, f, o, new = (z[k * tagger.HIDDEN : (k + 1) * tagger.HIDDEN] for k in range(4))
+            c = f * c + i * (2 * new - 1)
+            h = o * np.clip(c, -1, 1)
+            want[t] += model.out[:, way * tagger.HIDDEN : (way + 1) * tagger.HIDDEN] @ h
+    assert np.abs(model._scores([x]).T - want).max() < 1e-2
+    long = tagger.symbols(" ".join(t for t, _ in pii.examples(40, 6)))
+    both = model._scores([x, long, x[:0], long[:1500]])
+    assert both.shape == (5, len(x) + len(long) + 1500) and np.abs(both[:, : len(x)].T - want).max() < 1e-2
+    far = model._scores([long[: tagger.WINDOW // 2]])
+    assert np.abs(both[:, len(x) : len(x) + 100] - far[:, :100]).max() < 0.2
+
+
+def test_lstm_gradients():
+    rng = np.random.default_rng(6)
+    cell = rng.normal(0, 0.15, (4 * tagger.HIDDEN, tagger.HIDDEN + tagger.EMBEDDED + 1))
+    cell[:, -1] = 0.5
+    read, weigh = rng.normal(0, 0.5, (4, tagger.EMBEDDED, 2)), rng.normal(0, 0.01, (4, tagger.HIDDEN, 2))
+    value = lambda: float((tagger._cell_forward(cell, read)[0].astype(float) * weigh).sum())
+    d_cell, d_read = tagger._cell_backward(cell, tagger._cell_forward(cell, read)[1], weigh)
+    for of, d in ((cell, d_cell), (read, d_read)):
+        for at in (tuple(rng.integers(0, n) for n in of.shape) for _ in range(20)):
+            old = of[at]
+            of[at] = old + 1e-4
+            high = value()
+            of[at] = old - 1e-4
+            low = value()
+            of[at] = old
+            assert abs((high - low) / 2e-4 - d[at]) < 2e-4, at
+
+
+HAND_MADE = [
+    ("Please write to jane.doe (at) mail-server (dot) org before Monday.", "email", "jane.doe (at) mail-server (dot) org"),
+    ("contact: bob.smith at example dot com, thanks", "email", "bob.smith at example dot com"),
+    ("Reach the team via support[at]widgets[dot]net or in person.", "email", "support[at]widgets[dot]net"),
+    ("My number is (212) 555-0187, call after six.", "phone", "(212) 555-0187"),
+    ("Tel. 415-555-0132 is the office line.", "phone", "415-555-0132"),
+    ("Fax 020 7946 0018 still works in London.", "phone", "020 7946 0018"),
+    ("the gateway 10 . 0 . 12 . 7 went down", "ip", "10 . 0 . 12 . 7"),
+    ("Blocked host 192[.]168[.]4[.]20 yesterday", "ip", "192[.]168[.]4[.]20"),
+]
+HARMLESS = [
+    "In 1998 about 3,200 people moved to the region, 12.5% more than in 1997.",
+    "See section 4.2.1 on page 117; the score was 3 - 2 (1 - 0) at half time.",
+    "Meet at the station at noon, dot your i and cross your t.",
+    "ISBN 978-0-13-468599-1, price $49.99, weight 1.2 kg",
+]
+
+
+def test_tagger_on_hand_made_texts(model):
+    """Forms written by hand, alone and across the borders of windows, and texts with numbers that are no personal data."""
+    found = 0
+    for text, kind, value in HAND_MADE:
+        at = text.index(value)
+        found += (kind, at, at + len(value)) in pii.find([text], model)[0][1]
+    assert found >= 6, found
+    for text in HARMLESS:
+        assert pii.find([text], model)[0][1] == [], text
+    # What is found alone is found wherever it stands in a long text.
+    for text, kind, value in HAND_MADE:
+        at = text.index(value)
+        if (kind, at, at + len(value)) in pii.find([text], model)[0][1]:
+            for before in (940, 955, 990, 1020, 1900):
+                filler = ("word " * 400)[:before]
+                there = pii.find([filler + text + " word" * 300], model)[0][1]
+                assert (kind, before + at, before + at + len(value)) in there, (before, value)
+
+
+def test_long_spans_are_kept():
+    """No limit on the length of what the tagger adds."""
+    value = "someone.with.a.very.long.name.and.many.parts.in.it (at) an-equally-long-name-of-a-server.and.its.department (dot) org"
+    text = "write to " + value + " now"
+    assert pii.added_spans(text, [], [(0, 9, 9 + len(value))]) == [("email", 9, 9 + len(value))]
+
+
+def test_model_is_kept_in_a_file(spark, model, tmp_path):
+    for _ in range(2):
+        again = pii.fitted(spark, f"{tmp_path}/tagger")
+    assert again.saved() == model.saved() and again.decode([HAND_MADE[0][0]]) == model.decode([HAND_MADE[0][0]])
+
+
 def test_personal_data_odd_rows(spark, model):
     docs = odd_table(spark)
     rows = pii.detect(docs, model).collect()
