@@ -18,25 +18,24 @@ that had no part in the centroids, so single odd rows don't matter.
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stowage.llm.batches import learns_from, map_batches
+from stowage.llm.batches import learns_from, map_batches, stored
 
 DIMS = 1 << 13
 #: Labelled rows a language's centroids are fitted on, at most, and centroids of a language.
 SAMPLE, CENTROIDS = 500, 4
-#: Rows of all languages together, at most; with very many languages each gets fewer.
-TOTAL = 20_000
-#: Languages told apart at most; of more, the ones with most rows.
-LANGUAGES = 1000
+#: Rows of all languages together, at most; with many languages each gets fewer, but one at least, so every language is learned.
+TOTAL = 8000
+#: Rows of a language that are looked at beyond half as many again as its sample, so that none is missed by chance.
+SPARE = 40
 #: A text is rejected below this share of this quantile of the held-out cosines among texts of its length.
 SLACK, QUANTILE = 0.6, 0.01
 #: Parts of the sample that are held out in turn, and rows that a class of lengths has at least.
@@ -152,13 +151,18 @@ def _reach(cosines: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """A model of rows (doc_id, text, lang); ``sample`` rows of each language are used, spread by a hash of doc_id."""
     rows = labelled.where(F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # Stored, so that its size is known when it is decided whether to broadcast it.
+    sizes = stored(sizes, "languages")
+    count = sizes.count()
+    if not count:
         return None
-    sample = max(1, min(sample, TOTAL // len(sizes)))
-    # The share of its rows that gives a language about half as many again as the sample; the rest goes on the driver.
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(math.ceil((1 << 30) * min(1.0, 1.5 * sample / r.n))))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).select(F.xxhash64("doc_id").alias("order"), "text", "lang")
+    sample = max(1, min(sample, TOTAL // count))
+    # The share of its rows that gives a language half as many again as the sample and some; the rest goes below.
+    # Rows are spread by id and text, so that an id that many rows share is taken as they are.
+    place = F.xxhash64("doc_id", "text")
+    share = sizes.select("lang", F.ceil(F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(1.5 * sample + SPARE) / F.col("n"))).alias("share"))
+    chosen = rows.join(share, "lang").where(F.pmod(place, F.lit(1 << 30)) < F.col("share")).select(place.alias("order"), "text", "lang")
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
@@ -169,11 +173,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
                 out.append((lang.as_py(), order.as_py(), at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["lang", "order", "at", "counts"]) if out else None
 
-    found, taken = [], defaultdict(int)
-    for lang, _, at, n in sorted(map(tuple, map_batches(chosen, features, "lang string, order long, at binary, counts binary").distinct().collect())):
-        taken[lang] += 1
-        if taken[lang] <= sample:
-            found.append((lang, at, n))
+    # As many rows as the sample allows come to the driver.
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("order", "at", "counts"))
+    some = map_batches(chosen, features, "lang string, order long, at binary, counts binary").distinct().withColumn("rank", rank).where(F.col("rank") <= sample)
+    found = [(r.lang, r.at, r.counts) for r in sorted(some.collect(), key=lambda r: (r.lang, r["rank"]))]
     if not found:
         return None
     counts = np.zeros((len(found), DIMS), np.float32)
