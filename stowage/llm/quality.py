@@ -28,6 +28,8 @@ from stowage.llm.batches import learns_from, map_batches
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 6000
+#: Tasks that these rows are dealt out to.
+PARTS = 16
 BITS = 15
 #: Weight of the fitted model against its mean weight, cost of a violated margin, passes.
 MIX, COST, PASSES = 0.25, 1.0, 20
@@ -146,17 +148,20 @@ def _platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows (doc_id, quality); ``sample`` of them, spread by a hash of doc_id."""
+    """A model of the labelled rows (doc_id, quality); ``sample`` of them, spread by a hash of doc_id.
+
+    No more than ``sample`` labels and ``sample`` rows go to the driver, however often an id repeats.
+    """
     ids = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
-    # As many rows as the sample allows, so their indicators may go to the driver.
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [indicators(x).tobytes() for x in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "found"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text")
-    rows = sorted(map(tuple, map_batches(chosen, run, "doc_id long, quality int, found binary").collect()))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id", "text", "quality").alias("place"), "text")
+    chosen = chosen.orderBy("place").limit(sample).drop("place").repartition(PARTS)
+    rows = sorted((r.doc_id, r.quality, r.found) for r in map_batches(chosen, run, "doc_id long, quality int, found binary").collect())
     return train([np.frombuffer(x[2], np.int32) for x in rows], [x[1] for x in rows])
 
 

@@ -822,6 +822,58 @@ def test_language_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1000 + k for k, _, _ in rows}
 
 
+def test_language_against_plain_numpy(spark):
+    """Languages and cosines against the method written out for one text at a time."""
+    import math
+    from collections import Counter
+
+    rows = language_rows(90, 9)
+    docs = table(spark, [t for _, t, _ in rows], lang=[x for _, _, x in rows])
+    model = langid.fit(docs.where("doc_id % 2 = 0").select("doc_id", "text", "lang"))
+
+    def place(trigram):
+        a, b, c = map(ord, trigram)
+        h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF
+        h ^= h >> 15
+        return (h * 0x2C1B3C6D & 0xFFFFFFFF) >> 19
+
+    def vector(text):
+        letters = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        counts = Counter(place(letters[k - 1 : k + 2]) for k in range(1, len(letters) - 1) if letters[k] != " ")
+        weighed = {k: math.log1p(n) * float(model.idf[k]) for k, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in weighed.values()))
+        return {k: x / norm for k, x in weighed.items()}
+
+    # Inverse document frequency from the labelled rows themselves, all of which are in the sample.
+    seen = Counter(k for _, t, _ in rows[::2] for k in {place((" " + "".join(c if c.isalpha() else " " for c in t.lower()) + " ")[j - 1 : j + 2]) for j in range(1, len(t) + 1) if t[j - 1].isalpha()})
+    assert all(abs(math.log((1 + 45) / (1 + n)) + 1 - float(model.idf[k])) < 1e-5 for k, n in seen.items())
+    lang, score, _ = langid.nearest([t for _, t, _ in rows], model)
+    for (_, text, _), own, s in zip(rows, lang, score, strict=True):
+        v = vector(text)
+        cosines = [sum(x * float(c[k]) for k, x in v.items()) for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert own == model.languages[model.owner[best]] and abs(s - cosines[best]) < 1e-5
+    # Each centroid has length 1 and is the direction of the rows that are nearest to it.
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
+
+
+def test_every_language_is_learned(spark):
+    """However many languages there are, and however rare."""
+    rng = random.Random(4)
+    codes = [f"l{k}" for k in range(120)]
+    texts = {c: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for c in codes}
+    rows = [(c, " ".join(rng.sample([texts[c][j : j + 3] for j in range(7)] * 3, 15))) for c in codes for _ in range(1 if c < "l5" else 6)]
+    docs = table(spark, [t for _, t in rows], lang=[c for c, _ in rows])
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    assert model.languages == sorted(codes)
+
+
+def test_language_sample_is_bounded_by_rows_of_one_id(spark):
+    rows = language_rows(300, 5)
+    docs = table(spark, [t for _, t, _ in rows], ids=[7] * 300, lang=["aa"] * 300)
+    assert langid.fit(docs.select("doc_id", "text", "lang"), sample=20).languages == ["aa"]
+
+
 JUNK = {
     "base64": base64.b64encode(random.Random(3).randbytes(2250)).decode(),
     "hex": "".join(random.Random(4).choices("0123456789abcdef", k=6000)),
@@ -872,6 +924,74 @@ def test_quality_odd_rows(spark):
     assert quality.assess(odd_table(spark).limit(0), one).count() == 0
 
 
+def test_support_vectors_are_the_optimum():
+    """The dual's value equals the primal's at the weights found, so both are the best there are."""
+    rng = np.random.default_rng(3)
+    texts = random_texts(60, 31)
+    rows, y = [quality.indicators(t) for t in texts], np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    ratio = quality._ratio(rows, y)
+    counts = {1: np.ones(len(ratio)), -1: np.ones(len(ratio))}
+    for r, label in zip(rows, y, strict=True):
+        for k in r.tolist():
+            counts[int(label)][k] += 1
+    assert np.allclose(ratio, np.log(counts[1] / ((y > 0).sum() + 2) / (counts[-1] / ((y < 0).sum() + 2))))
+    # Undo the mix with the mean weight: solve again without it.
+    old, quality.MIX, passes = quality.MIX, 1.0, quality.PASSES
+    quality.PASSES = 400
+    try:
+        weights, bias = quality._support(rows, y, ratio, 0)
+    finally:
+        quality.MIX, quality.PASSES = old, passes
+    w = np.divide(weights, ratio, out=np.zeros_like(weights), where=ratio != 0)
+    x = np.zeros((60, len(ratio) + 1))
+    for k, r in enumerate(rows):
+        x[k, r], x[k, -1] = ratio[r], 1
+    full = np.append(w, bias)
+    primal = 0.5 * full @ full + quality.COST * np.maximum(0, 1 - y * (x @ full)).sum()
+    # A reference solution of the dual by projected gradients.
+    q = (x @ x.T) * np.outer(y, y)
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(q)[-1]
+    ahead, t = alpha.copy(), 1.0
+    for _ in range(20000):
+        new = np.clip(ahead + step * (1 - q @ ahead), 0, quality.COST)
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, alpha = new + (before - 1) / t * (new - alpha), new
+    dual = alpha.sum() - 0.5 * alpha @ q @ alpha
+    assert abs(primal - dual) <= 1e-2 * max(1, abs(dual)), (primal, dual)
+
+
+def test_indicators_against_plain_counting():
+    def hashed(numbers, n, salt):
+        out = []
+        for k in range(len(numbers) - n + 1):
+            h = salt * 0x27D4EB2F & 0xFFFFFFFF
+            for x in numbers[k : k + n]:
+                h = (h ^ x) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 13
+            out.append((h * 0x85EBCA77 & 0xFFFFFFFF) >> (32 - quality.BITS))
+        return out
+
+    shape = lambda c: "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else " " if c.isspace() else c
+    for text in [*random_texts(20, 77), *odd_strings(50, 3), "spam spam spam spam spam spam eggs " * 20]:
+        words = text.split()
+        grams = hashed([ord(c) for c in text], 3, 1) + hashed([ord(shape(c)) for c in text], 3, 2) + hashed([int(a == b) for a, b in zip(words, words[1:], strict=False)], 4, 3)
+        want = sorted((k << quality.BITS) + g for g in set(grams) for k, least in enumerate((1, 4, 16, 64)) if grams.count(g) >= least)
+        assert quality.indicators(text).tolist() == (want if text else [0])
+
+
+def test_quality_sample_is_bounded_by_rows_of_one_id(spark):
+    """An id that many rows share brings no more rows to the driver than the sample allows."""
+    docs = table(spark, random_texts(200, 3), [7] * 150 + list(range(1000, 1050)))
+    labels = spark.createDataFrame([(7, 1), *((k, k % 2) for k in range(1000, 1050))], "doc_id long, quality int")
+    seen = []
+    old, quality.train = quality.train, lambda rows, labels: seen.append(len(rows)) or old(rows, labels)
+    try:
+        quality.fit(docs, labels, sample=60)
+    finally:
+        quality.train = old
+    assert seen == [60]
+
+
 # The pipeline
 
 
