@@ -9,7 +9,7 @@ that tells whether it has one, the bytes of an id (2 or 4), and the ids. CRCs
 are CRC-32, rotated right by 15 bits plus a constant, as a CRC over data that
 holds CRCs is weak. A second file, ``.idx``, has for each record where it
 begins and how many ids are before it in the file (8 bytes each), for reads in
-any order.
+any order. Reading back goes by that index and checks it.
 
 Documents are sorted over all files by doc_id. A file is written by one task
 under a name of its own attempt, and only files that a finished attempt
@@ -17,7 +17,8 @@ reported are read, so lost and repeated tasks leave nothing wrong behind.
 
 * A null text is empty; each document, even an empty one, ends with the end id.
 * Null doc_ids come first. Rows with equal doc_ids are ordered by a hash of the
-  text; wholly equal rows stay apart, each with ids of its own.
+  text; wholly equal rows stay apart, each with ids of its own, and can lie in
+  several files, so that none of them makes a file too large.
 * An empty table gives no files and no rows; extra columns are ignored.
 """
 
@@ -44,6 +45,12 @@ MASK = 0xA282EAD8
 _HEAD, _CRC, _PAYLOAD, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB"), struct.Struct("<QQ")
 #: Words whose ids a worker remembers, and words in one call of the tokenizer.
 REMEMBERED = 800_000
+#: Characters of longer words are not remembered, so what a worker remembers is bounded.
+LONGEST = 64
+#: Bytes of text in a file; and in one where there would else be fewer files than cores.
+FILE, LEAST_FILE = 512 << 20, 8 << 20
+#: Texts by which a tokenizer is tested before it is used.
+PROBES = ["Plain words, then a stop. And one more!", "don't it's l'été Ärger STRASSE Straße ǅ ı İ ſ K", " two  blanks\tand\nlines\r\n\x0b\u00a0\u2003 ", "3.14 2,000 a1b2 C3PO x_y snake_case a.b.c, ., ,. .", "日本語 한국어 ไทย عربى हिन्दी 😀 👩\u200d💻 e\u0301", "<|endoftext|> </s> [CLS] a\x1eb \x1e\x1e \x1f\x1c", "", "ÀÉÎ, õ. word.word,word .dot ,comma 'quoted' \"x\"", "supercalifragilisticexpialidocious " * 3]
 #: Stands between words that are tokenized in one call; has one id of its own.
 BREAK = "\x1e"
 _UNSAFE = re.compile("[^\0-ĩı-ɏ]")
@@ -149,6 +156,10 @@ class WordTokenizer:
         self.stop = self.tokenizer.encode(BREAK, add_special_tokens=False).ids
         if len(self.stop) != 1:
             raise ValueError("the sign between words must have one id")
+        # What is taken for granted here holds for lower-casing tokenizers that drop white space; others are refused.
+        for text, ids in zip(PROBES, self.encode(PROBES), strict=True):
+            if ids.tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"this tokenizer does not cut texts into words: {text!r}")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -206,6 +217,10 @@ class WordTokenizer:
             for words, (ids, at) in zip(split, found, strict=True):
                 for k in at:
                     ids[k] = known[words[k]]
+            for word in new:
+                if len(word) > LONGEST:
+                    known.pop(word, None)
+                    known.pop(word[:-1], None)
         return [np.frombuffer(b"".join(ids), self.kind) for ids, _ in found]
 
 
@@ -255,10 +270,8 @@ def write(docs: DataFrame, definition: str, folder: str, end_id: int, files: int
         if file is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([records], pa.int64()), pa.array([count], pa.int64())], ["part", "file", "n_records", "n_ids"])
 
-    tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    placed = tied.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * ROWS))
+    tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    placed = tied.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "tie", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
     return placed.mapInArrow(run, "part int, file string, n_records long, n_ids long")
 
 
@@ -270,13 +283,16 @@ def read_back(files: DataFrame) -> DataFrame:
             for uri, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 fs, path = filesystem(uri)
                 rows: list[tuple] = []
-                with fs.open_input_stream(path, buffer_size=1 << 20) as file:
+                at = before = 0
+                with fs.open_input_stream(path, buffer_size=1 << 20) as file, fs.open_input_stream(path + ".idx", buffer_size=1 << 16) as index:
                     while True:
-                        payload = read_record(file)
+                        entry, payload = index.read(16), read_record(file)
+                        if entry != (b"" if payload is None else index_entry(at, before)):
+                            raise Damaged("the index")
                         if payload is not None:
                             doc_id, ids = parsed(payload)
-                            rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
-                            start += len(ids)
+                            rows.append((doc_id, start + before, len(ids), zlib.crc32(ids.tobytes())))
+                            at, before = at + len(payload) + 16, before + len(ids)
                         if rows and (payload is None or len(rows) == 5000):
                             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
                             rows = []
@@ -289,11 +305,13 @@ def read_back(files: DataFrame) -> DataFrame:
 def binary_output(docs: DataFrame, definition: str, end_id: int = 1, files: int | None = None) -> DataFrame:
     """Writes the ids of ``docs`` and reads them back: doc_id, start, n_tokens, ids_crc32 from the files.
 
-    Only one row for each file, of as many as are asked for, comes to the driver.
+    Unless the number of files is given, it follows from the bytes of the texts. One row for each file comes to the driver.
     """
     spark = docs.sparkSession
     ship(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not files:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        files = max(1, -(-size // FILE), min(spark.sparkContext.defaultParallelism * 4, -(-size // LEAST_FILE)))
     folder = shared_dir(spark, "records")
     forget_at_exit(spark, folder)
     written = sorted(map(tuple, write(docs, definition, folder, end_id, files).collect()))
