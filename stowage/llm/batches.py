@@ -54,19 +54,29 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         if not remember:
             give_back()
 
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2 * ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * ROWS))
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Makes Spark's Arrow batches about as small as what is worked on at once, in the whole session.
+
+    For programs of their own, such as the registered queries; the operators
+    leave the session as it is and cut what they get.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2 * ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * ROWS))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one the cluster names for checkpoints.
 
-    Where none is named (tests), a temporary folder becomes the session's.
+    Where none is named and all runs on one machine (tests), a temporary folder
+    becomes the session's; a cluster must name one.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="stowage-")
         sc.setCheckpointDir(base)

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm.batches import read
+from stowage.llm import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    batches.small_batches(spark)
+    return batches.read(spark, sf_dir, table, *columns)
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm.licenses import scan_licenses
 

@@ -788,6 +788,62 @@ def test_records_in_any_order_and_damage(spark, definition, tmp_path):
         binary_records.Records(files[0].file)[4]
 
 
+def test_tokenizers_of_another_kind_are_refused(definition):
+    """One that keeps case or white space would get wrong ids, so it is not used."""
+    import json
+
+    other = json.loads(definition)
+    other["normalizer"] = None
+    with pytest.raises(ValueError):
+        binary_records.WordTokenizer(json.dumps(other))
+
+
+def test_files_follow_the_bytes(spark, definition, monkeypatch):
+    docs = table(spark, random_texts(60))
+    size = sum(len(r.text.encode()) for r in docs.collect())
+    asked = []
+    write = binary_records.write
+    monkeypatch.setattr(binary_records, "write", lambda docs, definition, folder, end_id, files: asked.append(files) or write(docs, definition, folder, end_id, files))
+    assert binary_records.binary_output(docs, definition).count() == 60
+    monkeypatch.setattr(binary_records, "FILE", size // 7 + 1)
+    assert binary_records.binary_output(docs, definition).count() == 60
+    assert asked == [1, 7]
+
+
+def test_index_that_lies_is_found(spark, definition, tmp_path):
+    files = binary_records.write(table(spark, random_texts(20)), definition, f"file://{tmp_path}/r", 1, 1).collect()
+    path = binary_records.filesystem(files[0].file)[1] + ".idx"
+    data = bytearray(open(path, "rb").read())
+    listed = spark.createDataFrame([(files[0].file, 0)], "file string, start long")
+    assert binary_records.read_back(listed).count() == 20
+    for changed in (data[:-16], data + data[-16:], data[:40] + b"\1" + data[41:]):
+        open(path, "wb").write(bytes(changed))
+        with pytest.raises(Exception, match="the index"):
+            binary_records.read_back(listed).count()
+
+
+def test_one_id_for_all_rows_is_dealt_over_files(spark, definition):
+    """Rows that are wholly equal do not all go to one file."""
+    docs = table(spark, ["same words"] * 400, [5] * 400).repartition(4)
+    folder = batches.shared_dir(spark, "dealt")
+    written = binary_records.write(docs, definition, folder, 1, 4).collect()
+    assert sum(r.n_records for r in written) == 400 and max(r.n_records for r in written) <= 200
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        batches.shared_dir(Session(), "x")
+
+
 # 9 language
 
 
