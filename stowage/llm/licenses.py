@@ -1,10 +1,17 @@
 """Licence scan by canonical digests. Native.
 
-A text is brought to a canonical form (lower case, no copyright lines, no
-punctuation, one spelling of words that are spelled in two ways, single
-spaces) and its SHA-256 is looked up among the digests of known licences by a
-hash join. The known digests are made by the very same expressions. The lines
-of a text are looked up the same way among known one-line notices.
+A text is brought to a canonical form (lower case, no lines that name holders
+of a copyright, no lines that are titles, no punctuation, one spelling of words
+that are spelled in two ways, single spaces) and its SHA-256 is looked up among
+the digests of known licences by a hash join. The known digests are made by the
+very same expressions, of short licences (``TEXTS``) in each run, of long ones
+once (``DIGESTS``). The lines of a text are looked up the same way among known
+one-line notices.
+
+A holder's line begins with a copyright sign, or with the word and a sign, a
+year or a placeholder behind it; so lines that merely begin with the word, as
+any line of a licence can where it is wrapped, stay. What goes on in the line
+below a holder's line stays as well, and such a text is not found.
 
 * Null and empty texts, and those of punctuation alone, have the digest of the
   empty form and no licence.
@@ -51,13 +58,43 @@ NOTICES = {
     "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
     "SPDX-License-Identifier: ISC": "ISC",
 }
+#: Digests of the canonical forms of long licences as their authors publish them (FSF's of 2007 or with
+#: the Franklin Street address), with what follows their terms, and without ("how to apply").
+DIGESTS = {
+    "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6": "Apache-2.0",
+    "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff": "Apache-2.0",
+    "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702": "Artistic-1.0",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b": "GFDL-1.2",
+    "1dbd72b6f124a1058e786b52a9d4afe44543b834a3aa44faf6c18b747c9de8e2": "GFDL-1.2",
+    "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d": "GFDL-1.3",
+    "911b9e1b02471fa9b19ec482d019380acd7e0fef00ffbd4395e8813b06533fe7": "GFDL-1.3",
+    "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc": "GPL-1.0",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34": "GPL-2.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636": "GPL-3.0",
+    "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
+    "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260": "LGPL-2.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4": "LGPL-2.1",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "18285bb1ad96820bff9c9d0ad8afd287be81e1fb278bd99ca194d3a69d622294": "MPL-1.1",
+    "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b": "MPL-1.1",
+    "075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de": "MPL-2.0",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+}
 #: Patterns and what replaces them, in this order, on lower-case text. Both Java's and RE2's dialect.
 STEPS = [
-    (r"(?:^|\n)[ \t/*#;%-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*", "\n"),
+    (r"(?:^|\n)[ \t/*#;%-]*(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]|<|\[|\{|by[ \t])|\(c\)[ \t]*(?:copyright|[0-9<\[{])|©)[^\n]*", "\n"),
+    (r"(?:^|\n)[ \t/*#;%-]*all rights reserved[ \t.*/#-]*(\n|$)", "\n$1"),
+    (r"(?:^|\n)[ \t/*#;%-]*(?:(?:the )?(?:mit|expat|x11|isc|zlib|0bsd|bsd|bsd zero[- ]clause|bsd [0-9][- ]clause|[0-9][- ]clause bsd|new bsd|simplified bsd)(?: [\"'][a-z0-9 ]+[\"'])? licen[cs]e(?: \([a-z0-9 /.-]+\))?|boost software license - version 1\.0 - august 17th, 2003)[ \t:.*/#-]*(\n|$)", "\n$1"),
     (r"(licen)ce(s|d|e|es|or)?\b", "$1se$2"),
     (r"\b(author|recogn|organ|initial|util|summar|favor|custom|normal)is(e|es|ed|ing|ation|ations)\b", "$1iz$2"),
     (r"\b(acknowledg)e(ments?)\b|\b(fulfil)(ments?)\b", "$1$3$2$4"),
-    (r"\b(non|sub)[ -](commercial|infringement|license)", "$1$2"),
+    (r"\b(non|sub)(?:[ -]|-\n[ \t/*#;%-]*)(commercial|infringement|license)", "$1$2"),
+    (r"\bhttps\b", "http"),
     (r"[^\p{L}\p{N}\n]+", " "),
 ]
 _LINES = r" *\n *"
@@ -76,10 +113,16 @@ def _digest(cleaned: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(cleaned, F.lit("[ \n]+"), F.lit(" "))), 256)
 
 
-def known(spark, texts: dict[str, str]) -> DataFrame:
-    """digest, license: digests of known texts, made by the scan's own expressions."""
+def digests_of(spark, texts: dict[str, str]) -> DataFrame:
+    """digest, license of texts, by the scan's own expressions."""
     rows = spark.createDataFrame([(x, k) for k, x in texts.items()], "text string, license string")
-    return rows.select(_digest(_cleaned(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return rows.select(_digest(_cleaned(F.col("text"))).alias("digest"), "license")
+
+
+def known(spark, texts: dict[str, str], digests: dict[str, str] | None = None) -> DataFrame:
+    """digest, license: digests of known texts, and digests that are known by themselves."""
+    more = spark.createDataFrame(list((digests or {}).items()), "digest string, license string")
+    return digests_of(spark, texts).unionByName(more).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
@@ -104,7 +147,7 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, notices:
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), _cleaned(F.col("text")).alias("cleaned"))
         .select("doc_id", _digest(F.col("cleaned")).alias("digest"), F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",").alias("notices"))
-        .join(F.broadcast(known(spark, TEXTS if texts is None else texts)), "digest", "left")
+        .join(F.broadcast(known(spark, TEXTS, DIGESTS) if texts is None else known(spark, texts)), "digest", "left")
         .select("doc_id", "digest", "license", "notices")
     )
 
@@ -126,7 +169,7 @@ def scan_sql() -> str:
 
     values = lambda d: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in d)
     return f"""
-with texts as (select {digest(cleaned('text'))} as digest, min(license) as license from (values {values([(x, k) for k, x in TEXTS.items()])}) v(text, license) group by 1),
+with texts as (select digest, min(license) as license from (select {digest(cleaned('text'))} as digest, license from (values {values([(x, k) for k, x in TEXTS.items()])}) v(text, license) union all values {values(DIGESTS.items())}) group by 1),
 notices as (select distinct {digest(cleaned('text'))} as digest, license from (values {values(NOTICES.items())}) v(text, license)),
 docs as (select row_number() over () as r, doc_id, {cleaned('text')} as cleaned from documents),
 lines as (select r, unnest(regexp_split_to_array(cleaned, ' *\\n *')) as line from docs),

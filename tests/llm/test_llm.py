@@ -52,6 +52,78 @@ def test_license_forms(spark):
     assert licenses.scan_licenses(odd_table(spark).limit(0)).count() == 0
 
 
+def rewrapped(text, width, prefix=""):
+    """Paragraphs wrapped anew; lines of holders and titles stay lines."""
+    import textwrap
+
+    out = []
+    for part in text.split("\n"):
+        lines = [part] if len(part) < 60 else textwrap.wrap(part, width) or [""]
+        out += [prefix + x for x in lines]
+    return "\n".join(out)
+
+
+@pytest.fixture(scope="module")
+def license_texts():
+    """(licence, text): whole licences in the forms in which they are published, and the system's own copies."""
+    import os
+    import re
+
+    titles = {"MIT": ["The MIT License (MIT)", "MIT License:", "The MIT License", "Expat License"], "ISC": ["The ISC License", "ISC License (ISC)"], "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" License']}
+    out = []
+    for name, text in licenses.TEXTS.items():
+        for width in (40, 61, 72, 79, 100, 10_000):
+            out += [(name, rewrapped(text, width)), (name, rewrapped(text, width, "# ")), (name, rewrapped(text, width, " * "))]
+        body = text.split("\n\n", 1)[1] if "License" in text.split("\n")[0] else text
+        for title in titles.get(name, []):
+            out.append((name, title + "\n\n" + body.replace("<year>", "1999-2020").replace("<copyright holders>", "Some One <some@one.org>").replace("<owner>", "Else, Inc. All rights reserved.")))
+        out.append((name, body.replace("Copyright (c) <year>", "COPYRIGHT © 2001,") + "\n"))
+    where = "/usr/share/common-licenses"
+    for name, file in {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "MPL-1.1": "MPL-1.1"}.items():
+        if os.path.exists(f"{where}/{file}"):
+            text = open(f"{where}/{file}", encoding="utf-8", errors="replace").read()
+            out += [(name, text), (name, text.upper()), (name, re.sub(r"(?m)^", "// ", text)), (name, text.replace("https:", "http:").replace('"', "''"))]
+    return out
+
+
+def test_whole_licenses_are_found(spark, license_texts):
+    docs = table(spark, [t for _, t in license_texts])
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs).collect()}
+    wrong = [(want, got[k], text[:80]) for k, (want, text) in enumerate(license_texts) if got[k] != want]
+    assert not wrong, wrong[:5]
+    # A sentence more or less makes another text.
+    changed = table(spark, [t + "\nNo use on Sundays." for _, t in license_texts])
+    assert {r.license for r in licenses.scan_licenses(changed).collect()} == {None}
+
+
+def test_license_sql_finds_the_same(spark, license_texts, tmp_path):
+    """The SQL on a table of whole licences, notices and odd texts."""
+    import duckdb
+
+    texts = [t for _, t in license_texts] + list(licenses.NOTICES) + [f"Some\n  // {x}\nlines" for x in licenses.NOTICES] + [x for x in ODD if x is None or "\x00" not in x]
+    docs = table(spark, texts).select("doc_id", "text")
+    docs.write.parquet(f"{tmp_path}/documents")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    want = db.sql(f"select doc_id, digest, license, notices from ({licenses.scan_sql()}) order by 1").fetchall()
+    assert [tuple(r) for r in licenses.scan_licenses(docs).select("doc_id", "digest", "license", "notices").orderBy("doc_id").collect()] == want
+
+
+def test_license_canonical_form_by_hand(spark):
+    """The form written out without the scan's patterns."""
+    cases = {
+        "Copyright (c) 2020 A\nCOPYRIGHT NOTICE and this\npermission": "copyright notice and this permission",
+        "  (c) 2001 B\n(c) You must keep it": "c you must keep it",
+        "© Me\nAll rights reserved.\nAll rights reserved here": "all rights reserved here",
+        "The MIT License (MIT)\n\nThe licence's sub-licensees recognise non commercial acknowledgements": "the license s sublicensees recognize noncommercial acknowledgments",
+        "see https://x.org, NOW": "see http x org now",
+        "mit license is what it has": "mit license is what it has",
+    }
+    docs = table(spark, list(cases))
+    got = [r.digest for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()]
+    assert got == [hashlib.sha256(x.encode()).hexdigest() for x in cases.values()]
+
+
 # 2 nearest neighbours
 
 
