@@ -7,8 +7,12 @@ number of candidates; these are ranked again by the inner product itself.
 
 * Equal vectors are one entry with its smallest ids, so that copies neither use
   up the candidates nor gather anywhere; they are told apart again in results.
-* Centroids, and the share of entries to look at, are found on a bounded sample;
-  every entry is indexed.
+* Centroids are found on a bounded sample, as many as make cells of about
+  ``IN_CELL`` entries; every entry is indexed.
+* How far to look is measured on a fixed number of trial queries, for which all
+  entries are searched: the share of entries before which ``RECALL`` of their
+  true neighbours lie. It falls as a table grows denser, and does so the less
+  the more dimensions the vectors fill evenly.
 * Cells lie in chunks of bounded size, in order of their centroids; a cell too
   large for one has chunks of its own. Queries meet chunks in blocks.
 
@@ -21,6 +25,7 @@ the smaller id. Empty tables give no rows; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +37,14 @@ from pyspark.sql import functions as F
 
 from stowage.llm.batches import map_batches, stored
 
-#: Rows of the sample; centroids of a half at most; entries of a chunk; queries of a block.
-SAMPLE, CENTROIDS, CHUNK, QUERIES = 20_000, 256, 4096, 512
-#: Share of the true neighbours that the sample's searches must find.
+#: Rows of the sample, and its bytes, at most; centroids of a half at most, and entries in a cell that they are chosen for.
+SAMPLE, SAMPLE_BYTES, CENTROIDS, IN_CELL = 20_000, 256 << 20, 1024, 4
+#: Entries of a chunk; queries of a block; trial queries.
+CHUNK, QUERIES, TRIALS = 4096, 512, 200
+#: Share of the true neighbours that the trial queries must find.
 RECALL = 0.95
+#: Entries that are ranked again at least, for each neighbour that is asked for.
+LEAST = 20
 
 
 @dataclass
@@ -46,6 +55,7 @@ class Index:
     right: np.ndarray
     by_product: bool  # distances are inner-product deficits; else squared Euclidean
     share: float
+    least: int = 0  # entries to look at, however small their share
     counts: np.ndarray | None = None  # entries of each cell
     first: np.ndarray | None = None  # first chunk of each cell
     splits: np.ndarray | None = None  # chunks of its own, or 1
@@ -108,7 +118,7 @@ class Index:
             else:
                 filled += n
         total = int(counts.sum())
-        self.wanted = min(total, max(int(np.ceil(self.share * total)), 1000))
+        self.wanted = min(total, max(int(np.ceil(self.share * total)), self.least))
 
 
 def _distance(x: np.ndarray, centroids: np.ndarray, by_product: bool) -> np.ndarray:
@@ -134,7 +144,12 @@ def _centroids(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10
     return found
 
 
-def fit(x: np.ndarray, k: int, recall: float = RECALL, centroids: int = CENTROIDS, seed: int = 3) -> Index:
+def centroids_for(entries: int) -> int:
+    """Centroids of a half, for cells of about ``IN_CELL`` entries."""
+    return min(CENTROIDS, max(1, math.isqrt(entries // IN_CELL)))
+
+
+def fit(x: np.ndarray, k: int, recall: float = RECALL, centroids: int = 256, seed: int = 3) -> Index:
     """An index fitted on sample rows ``x``, to find ``recall`` of the ``k`` nearest among a part of them."""
     rng = np.random.default_rng(seed)
     half = x.shape[1] // 2
@@ -145,7 +160,7 @@ def fit(x: np.ndarray, k: int, recall: float = RECALL, centroids: int = CENTROID
     products = queries @ base.T
     products[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     near = np.argsort(-products, axis=1)[:, :k][:, : max(0, len(base) - 1)]
-    index = Index(left, right, True, 1.0)
+    index = Index(left, right, True, 1.0, LEAST * k)
     for by_product in (True, False):
         sums = _distance(queries[:, :half], left, by_product)[:, _nearest(base[:, :half], left)] + _distance(queries[:, half:], right, by_product)[:, _nearest(base[:, half:], right)]
         shares = [float(np.quantile((np.sort(s)[None] <= s[near[j], None]).mean(1), recall)) for j, s in enumerate(sums)] if near.size else [1.0]
@@ -156,6 +171,48 @@ def fit(x: np.ndarray, k: int, recall: float = RECALL, centroids: int = CENTROID
     return index
 
 
+def tuned(index: Index, queries: np.ndarray, near: list[np.ndarray], counts: np.ndarray, recall: float = RECALL) -> None:
+    """Sets how far ``index`` looks: to where ``recall`` of the true neighbours of trial queries lie. near: the neighbours' cells."""
+    best = (2.0, True)
+    cells = np.flatnonzero(counts)
+    for by_product in (True, False):
+        index.by_product = by_product
+        shares = []
+        for q, own in zip(queries, near, strict=True):
+            to_left, to_right = index.distances(q)
+            sums = to_left[cells // len(index.right)] + to_right[cells % len(index.right)]
+            order = np.argsort(sums, kind="stable")
+            before = np.cumsum(counts[cells][order])
+            theirs = to_left[own // len(index.right)] + to_right[own % len(index.right)]
+            at = np.searchsorted(sums[order], theirs, "right") - 1
+            shares += (before[np.maximum(at, 0)] / before[-1]).tolist()
+        share = float(np.quantile(shares, recall, method="higher")) if shares else 1.0
+        best = min(best, (share, by_product))
+    index.share, index.by_product = best
+
+
+def _true_neighbours(celled: DataFrame, queries: np.ndarray, ids: np.ndarray, width: int, k: int) -> list[np.ndarray]:
+    """The cells of the ``k`` nearest of all entries to each of a fixed number of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = [np.full((len(queries), k), -np.inf), np.zeros((len(queries), k), np.int64)]
+        for batch in batches:
+            own = np.array([x[0] for x in batch.column("ids").to_pylist()], np.int64)
+            products = queries @ _matrix(batch, "v", width).T
+            products[ids[:, None] == own[None]] = -np.inf
+            cells = np.broadcast_to(batch.column("cell").to_numpy().astype(np.int64), products.shape)
+            scores, cells = np.concatenate([top[0], products], 1), np.concatenate([top[1], cells], 1)
+            at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            top = [np.take_along_axis(scores, at, 1), np.take_along_axis(cells, at, 1)]
+        q, j = np.nonzero(top[0] > -np.inf)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(top[0][q, j]), pa.array(top[1][q, j])], ["q", "score", "cell"])
+
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "cell"))
+    found = celled.select("cell", "ids", "v").mapInArrow(run, "q int, score double, cell long").withColumn("rank", rank).where(F.col("rank") <= k).select("q", "cell").collect()
+    return [np.array([r.cell for r in found if r.q == q], np.int64) for q in range(len(queries))]
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector is not null, and all its components are finite and not all zero."""
     odd = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -182,8 +239,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
     of_vector = W.partitionBy("v").orderBy("vec_id")
     few = rows.select("v", "vec_id").withColumn("r", F.dense_rank().over(of_vector)).where(F.col("r") <= k + 1)
     entries = stored(few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "entries")
-    sample = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
-    index = fit(np.array([r.v for r in sample]), k)
+    sample = entries.select("ids", "v").orderBy(F.xxhash64("v"), "v").limit(max(TRIALS, min(SAMPLE, SAMPLE_BYTES // (8 * width)))).collect()
+    x = np.array([r.v for r in sample])
+    index = fit(x, k, centroids=centroids_for(entries.count()))
 
     def assign(batch: pa.RecordBatch) -> pa.RecordBatch:
         cells = index.cells(_matrix(batch, "v", width))
@@ -194,6 +252,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
     counts = np.zeros(len(index.left) * len(index.right), np.int64)
     for cell, n in celled.groupBy("cell").count().collect():
         counts[cell] = n
+    trials = x[:TRIALS]
+    tuned(index, trials, _true_neighbours(celled, trials, np.array([r.ids[0] for r in sample[:TRIALS]], np.int64), width, k), counts)
     index.place(counts)
 
     def into_chunks(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -180,6 +180,52 @@ def test_neighbours_recall_and_cells_in_order():
     assert np.bincount(index.first[whole], weights=index.counts[whole]).max() <= 200
 
 
+def test_how_far_to_look_against_plain_ranks():
+    """The share found by cells' counts is the one that ranks of all entries give."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 12))
+    index = multiindex.fit(x, 10, centroids=multiindex.centroids_for(2000))
+    cells = index.cells(x)
+    counts = np.bincount(cells, minlength=len(index.left) * len(index.right))
+    near = [np.array([j for j in np.argsort(-(x @ q)).tolist() if j != k][:10]) for k, q in enumerate(x[:50])]
+    multiindex.tuned(index, x[:50], [cells[n] for n in near], counts)
+    shares = []
+    for q, n in zip(x[:50], near, strict=True):
+        to_left, to_right = index.distances(q)
+        sums = to_left[cells // len(index.right)] + to_right[cells % len(index.right)]
+        shares += [(sums <= sums[j]).mean() for j in n]
+    assert abs(np.mean(np.array(shares) <= index.share) - multiindex.RECALL) < 0.01
+    assert [multiindex.centroids_for(n) for n in (0, 3, 400, 40_000, 10**12)] == [1, 1, 10, 100, multiindex.CENTROIDS]
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clustered"])
+def test_neighbours_recall_of_whole_searches(spark, kind):
+    """Recall of ``search`` on tables that it looks at in part only."""
+    rng = np.random.default_rng(7)
+    n = 20_000
+    x = rng.normal(size=(n, 16))
+    if kind == "clustered":
+        x = 3 * rng.normal(size=(200, 16))[rng.integers(0, 200, n)] + 0.5 * x
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    shares = []
+    place = multiindex.Index.place
+    try:
+        multiindex.Index.place = lambda self, counts, *a: place(self, counts, *a) or shares.append(self.wanted / counts.sum())
+        got = multiindex.search(docs, batches.F.col("vec_id") % 100 == 0).collect()
+    finally:
+        multiindex.Index.place = place
+    x, hits, by = x.astype(np.float64), 0, {}
+    for r in got:
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, n, 100):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(by[q] & set(np.argpartition(-scores, 20)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(by) and len(by) == n // 100
+    assert shares[0] < (0.25 if kind == "uniform" else 0.06), shares
+
+
 # 3 sharding
 
 
