@@ -9,9 +9,9 @@ the only transitions are into, within and out of a kind.
 ``Model.decode`` reads a text in overlapping windows and mixes their scores
 where they overlap, each the less the nearer its end. Over the mixed scores of
 the whole text the one best path of tags is found: stretches are decoded side by
-side, and where one ends, its scores must prove that the best path is outside
-there, whatever follows; if they don't, the stretch and the next are decoded as
-one. So windows and stretches never change what is found.
+side, each with some text behind it, and the best paths to all tags there must
+agree that its end is outside; if they don't, the stretch and the next are
+decoded as one. So windows and stretches never change what is found.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ WINDOW, OVERLAP = 1024, 64
 BESIDE = 768
 #: Characters of texts whose scores are held at once; those of a longer text are held alone.
 HELD = 1 << 21
+#: Characters behind a stretch in which paths are to meet.
+BEHIND = 64
 HIDDEN, EMBEDDED = 8, 8
 _SIGNS = " \n\t@.,-+()_%:;/|\"'=#&*!?$<>[]"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -104,22 +106,21 @@ class Model:
                 scores[t] += s
         return scores
 
-    def best(self, scores: np.ndarray, lengths: np.ndarray | None = None, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(T, B) the best tags by Viterbi's algorithm, and whether that is sure for each column.
+    def best(self, scores: np.ndarray, lengths: np.ndarray, cores: np.ndarray, before: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(T, B) the best tags by Viterbi's algorithm, and whether they are sure up to ``cores``, whatever follows.
 
-        Columns end at ``lengths``. Where there is text ``before``, a column goes on from a tag that is outside;
-        where there is text ``behind``, it is sure only if whatever follows has its best predecessor outside.
+        Columns end at ``lengths``, where the text has ``ended`` or goes on. Where there is text ``before``, a column
+        begins behind a tag that is outside; its core is sure if it ends with its text, or if the best paths to all
+        tags at the column's end are outside at the core's.
         """
         steps, tags, beside = scores.shape
-        lengths = np.full(beside, steps) if lengths is None else lengths
-        full = int(lengths.min()) if beside else 0
+        full = int(lengths.min())
         enter, stay, leave = self.enter[:, None], self.stay[:, None], self.leave[:, None]
         stays = np.empty((steps, tags - 1, beside), bool)  # whether a kind's best predecessor is the kind itself
         source = np.zeros((steps, beside), np.uint8)  # the best predecessor of the outside
         now = scores[0].copy()
-        if before is not None:
-            now[0] += np.where(before, self.outside, 0)
-            now[1:] += np.where(before, enter, 0)
+        now[0] += np.where(before, self.outside, 0)
+        now[1:] += np.where(before, enter, 0)
         for t in range(1, steps):
             within, into = now[1:] + stay, now[:1] + enter
             np.greater(within, into, out=stays[t])
@@ -133,25 +134,26 @@ class Model:
             np.maximum(within, into, out=new[1:])
             new += scores[t]
             now = now if t < full else np.where(t < lengths, new, now)
-        last, sure = now.argmax(0).astype(np.uint8), np.ones(beside, bool)
-        if behind is not None:
-            ends = ((now[0] + self.outside >= now[1:] + leave) & (now[:1] + enter >= now[1:] + stay)).all(0)
-            sure = ends | ~behind
-            last = np.where(ends & behind, 0, last).astype(np.uint8)
-        tags_out = np.zeros((steps, beside), np.uint8)
-        tag = np.where(lengths == steps, last, 0).astype(np.uint8)
-        tags_out[-1] = tag
-        everyone = np.arange(beside)
-        for t in range(steps - 1, 0, -1):
-            if tag.any():
-                kept = stays[t, np.maximum(tag, 1) - 1, everyone]
-                tag = np.where(tag == 0, source[t], np.where(kept, tag, 0)).astype(np.uint8)
-            else:
-                tag = source[t]
-            if t >= full:  # some columns end here, and none has begun behind its end
-                tag = np.where(lengths > t, tag, np.where(lengths == t, last, 0)).astype(np.uint8)
-            tags_out[t - 1] = tag
-        return tags_out, sure
+        # One path where the text has ended; else one to each tag, followed back to where all cores have ended.
+        last = np.where(ended, now.argmax(0), np.arange(tags)[:, None]).astype(np.uint8)
+        sure, out, everyone = cores == lengths, np.zeros((steps, beside), np.uint8), np.arange(beside)
+        tag, low = last, int(cores.min())
+        for t in range(steps - 1, -1, -1):
+            if t < steps - 1:
+                of, at = stays[t + 1], source[t + 1]
+                if not tag.any():
+                    tag = np.broadcast_to(at, tag.shape)
+                else:
+                    tag = np.where(tag == 0, at, np.where(of[np.maximum(tag, 1) - 1, everyone], tag, 0)).astype(np.uint8)
+                if t >= full - 1:  # some columns end here
+                    tag = np.where(lengths - 1 == t, last[: len(tag)], tag)
+            if t >= low - 1:
+                here = np.flatnonzero((cores - 1 == t) & ~sure)
+                sure[here] = (tag[:, here] == 0).all(0)
+                if t == low - 1:
+                    tag = tag[:1]
+            out[t] = tag[0]
+        return out, sure
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Of each text the spans (kind, start, end) of equal tags on its best path."""
@@ -162,7 +164,7 @@ class Model:
         return out
 
     def _scores(self, numbers: list[np.ndarray]) -> np.ndarray:
-        """(tags, N) mixed scores of the windows of all texts, one text behind the other."""
+        """(N, tags) mixed scores of the windows of all texts, one text behind the other."""
         firsts = np.concatenate(([0], np.cumsum([len(x) for x in numbers], dtype=int)))
         joined = np.concatenate(numbers) if numbers else np.zeros(0, np.uint8)
         cuts = []  # (length, start, whether a window of the text comes before, whether one comes behind)
@@ -171,7 +173,7 @@ class Model:
             step = -(-(len(x) - OVERLAP) // n) if n > 1 else len(x)
             cuts += [(min(len(x) - j * step, step + OVERLAP) if n > 1 else len(x), first + j * step, j > 0, j + 1 < n) for j in range(n)]
         cuts.sort()
-        out = np.zeros((len(self.out), len(joined)), _F)
+        out = np.zeros((len(joined), len(self.out)), _F)
         rise = ((np.arange(OVERLAP, dtype=_F) + _F(0.5)) / OVERLAP)[:, None]
         for a in range(0, len(cuts), BESIDE):
             some = cuts[a : a + BESIDE]
@@ -185,30 +187,36 @@ class Model:
                     own[:OVERLAP] *= rise
                 if behind:
                     own[-OVERLAP:] *= rise[::-1]
-                out[:, start : start + n] += own.T
+                out[start : start + n] += own
         return out
 
     def _paths(self, lengths: list[int], scores: np.ndarray, stretch: int = WINDOW) -> Iterator[np.ndarray]:
         """Of each text the tags of the best path through its scores."""
         firsts = np.concatenate(([0], np.cumsum(lengths, dtype=int))).tolist()
-        tags = np.zeros(scores.shape[1], np.uint8)
+        tags = np.zeros(len(scores), np.uint8)
         todo = []  # (length, start, whether text comes before, whether text comes behind)
         for first, n in zip(firsts, lengths, strict=False):
             todo += [(min(stretch, n - j), first + j, j > 0, j + stretch < n) for j in range(0, n, stretch)]
         borders = {start for _, start, _, _ in todo} | {firsts[-1]}
         while todo:
             todo.sort()
-            unsure = []
-            for a in range(0, len(todo), BESIDE):
-                some = todo[a : a + BESIDE]
-                own = np.zeros((some[-1][0], len(self.out), len(some)), _F)
-                for b, (n, start, _, _) in enumerate(some):
-                    own[:n, :, b] = scores[:, start : start + n].T
-                size, _, before, behind = (np.array(x) for x in zip(*some, strict=True))
-                found, sure = self.best(own, size, before, behind)
-                for b, (n, start, _, _) in enumerate(some):
-                    tags[start : start + n] = found[:n, b]
-                unsure += [some[b] for b in np.flatnonzero(~sure)]
+            unsure, b = [], 0
+            while b < len(todo):
+                # By length, so long ones have few beside them.
+                a, b = b, b + 1
+                while b < len(todo) and b - a < BESIDE and (b - a + 1) * todo[b][0] <= BESIDE * WINDOW:
+                    b += 1
+                some = todo[a:b]
+                ends = [firsts[bisect.bisect_right(firsts, start)] for _, start, _, _ in some]
+                sizes = [min(n + BEHIND, end - start) if behind else n for (n, start, _, behind), end in zip(some, ends, strict=True)]
+                own = np.zeros((max(sizes), len(self.out), len(some)), _F)
+                for k, (size, (_, start, _, _)) in enumerate(zip(sizes, some, strict=True)):
+                    own[:size, :, k] = scores[start : start + size]
+                cores, starts, before, _ = (np.array(x) for x in zip(*some, strict=True))
+                found, sure = self.best(own, np.array(sizes), cores, before, starts + sizes == ends)
+                for k, (n, start, _, _) in enumerate(some):
+                    tags[start : start + n] = found[:n, k]
+                unsure += [some[k] for k in np.flatnonzero(~sure)]
             todo = self._joined(unsure, firsts, borders)
         return (tags[a : a + n] for a, n in zip(firsts, lengths, strict=False))
 

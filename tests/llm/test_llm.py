@@ -746,11 +746,11 @@ def test_paths_are_globally_best():
     m = tagger.Model(("a", "b"), None, [None, None], np.zeros((3, 17)), np.array([-2.0, -1.5], np.float32), np.array([1.0, 0.6], np.float32), np.array([-1.0, -0.4], np.float32), 1.0)
     for stretch in (1, 2, 5, 16, 1000):
         lengths = [0, 1, 7, 64, 200, 3, 50]
-        scores = rng.normal(size=(3, sum(lengths))).astype(np.float32) * 1.5
-        scores[1, 80:230] += 1.5  # long spans
+        scores = rng.normal(size=(sum(lengths), 3)).astype(np.float32) * 1.5
+        scores[80:230, 1] += 1.5  # long spans
         at = 0
         for n, tags in zip(lengths, m._paths(lengths, scores, stretch), strict=True):
-            own, at = scores[:, at : at + n].T, at + n
+            own, at = scores[at : at + n], at + n
             if n:
                 best, value = plain_best(m, own)
                 assert abs(path_score(m, own, tags.tolist()) - value) < 1e-3, (stretch, n)
@@ -770,12 +770,12 @@ def test_scores_of_windows_and_lstm_against_plain_steps(model):
             c = f * c + i * (2 * new - 1)
             h = o * np.clip(c, -1, 1)
             want[t] += model.out[:, way * tagger.HIDDEN : (way + 1) * tagger.HIDDEN] @ h
-    assert np.abs(model._scores([x]).T - want).max() < 1e-2
+    assert np.abs(model._scores([x]) - want).max() < 1e-2
     long = tagger.symbols(" ".join(t for t, _ in pii.examples(40, 6)))
     both = model._scores([x, long, x[:0], long[:1500]])
-    assert both.shape == (5, len(x) + len(long) + 1500) and np.abs(both[:, : len(x)].T - want).max() < 1e-2
+    assert both.shape == (len(x) + len(long) + 1500, 5) and np.abs(both[: len(x)] - want).max() < 1e-2
     far = model._scores([long[: tagger.WINDOW // 2]])
-    assert np.abs(both[:, len(x) : len(x) + 100] - far[:, :100]).max() < 0.2
+    assert np.abs(both[len(x) : len(x) + 100] - far[:100]).max() < 0.2
 
 
 def test_lstm_gradients():
