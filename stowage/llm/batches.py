@@ -126,7 +126,7 @@ _claimed = ""
 
 
 def claim(owner: str) -> None:
-    """Drops what other operators remember: workers outlive operators, and their memory is shared."""
+    """Drops what other operators remember, and gives it back: workers outlive operators, and their memory is shared."""
     global _claimed
     if owner != _claimed:
         for of, cache in _remembered:
@@ -134,11 +134,16 @@ def claim(owner: str) -> None:
                 cache.clear()
                 cache.before = {}
         _claimed = owner
+        _trim()
 
 
 def give_back() -> None:
     """Drops all that is remembered, and returns freed memory to the system where its C library can."""
     claim("")
+    _trim()
+
+
+def _trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

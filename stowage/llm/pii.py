@@ -226,7 +226,7 @@ def detect(docs: DataFrame, model: tagger.Model) -> DataFrame:
         digests = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found], pa.string())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digests, pa.array([listed(every) for _, every in found], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, remember=False)
 
 
 def redacted(text: str | None, spans: list[Span]) -> str | None:
@@ -260,4 +260,4 @@ def redact(docs: DataFrame, model: tagger.Model) -> DataFrame:
             columns["n_chars"] = pa.array(lengths, old.type)
         return pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, remember=False)
