@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import grammar, matching, paths
 from stowage.functions.templates import Template, Value
-from stowage.operators import classify, duplicates, journal, learn, planner, similar, sync, transfer, views
+from stowage.operators import classify, duplicates, graph, journal, learn, planner, similar, sync, transfer, views
 from stowage.operators.graph import checkpointed
 from stowage.plans.policy import load
 from stowage.streaming import watch
@@ -63,7 +63,7 @@ def inv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("size"),
-        F.timestamp_seconds(F.col("doc_id") * 60 + EPOCH).alias("mtime"), F.sha2("text", 256).alias("digest"), F.sha2(F.substring("text", 1, 64), 256).alias("sample"), "lang", F.col("source").alias("src"),
+        F.timestamp_seconds(F.col("doc_id") * 60 + EPOCH).alias("mtime"), F.sha2("text", 256).alias("digest"), duplicates.sample_digest(F.col("text").cast("binary"), F.octet_length("text").cast("long")).alias("sample"), "lang", F.col("source").alias("src"),
         F.lit("text/plain").alias("mime"), F.timestamp_seconds(F.lit(NOW)).alias("now"),
     )
 
@@ -315,7 +315,11 @@ def plan_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Exact duplicates
 
-FILES = f"f as (select i.*, sha256(substring(text, 1, 64)) as sample, coalesce(l.toxic = 1, false) as pinned, coalesce(l.quality = 1, false) as settled from ({DOCS}) i left join (select doc_id, max(toxic) as toxic, max(quality) as quality from labels group by 1) l using (doc_id))"
+#: The sample's digest from its definition: size, first piece, pieces at one and two thirds, last piece, where they don't overlap.
+_BYTES, _PIECE = "encode(text)", duplicates.PIECE
+_THIRD = lambda share: f"case when size * {share} // 100 > {_PIECE} and size > size * {share} // 100 + {_PIECE} then array_slice({_BYTES}, size * {share} // 100 + 1, size * {share} // 100 + {_PIECE}) else ''::blob end"
+q_sample = f"sha256(encode(printf('%X', size)) || array_slice({_BYTES}, 1, {_PIECE}) || {_THIRD(33)} || {_THIRD(66)} || case when size > 2 * {_PIECE} then array_slice({_BYTES}, size - {_PIECE} + 1, size) else ''::blob end)"
+FILES = f"f as (select i.*, {q_sample} as sample, coalesce(l.toxic = 1, false) as pinned, coalesce(l.quality = 1, false) as settled from ({DOCS}) i left join (select doc_id, max(toxic) as toxic, max(quality) as quality from labels group by 1) l using (doc_id))"
 GROUPED = f"""{FILES}, s1 as (select * from f where size > 0 qualify count(*) over (partition by size) > 1), s2 as (select * from s1 qualify count(*) over (partition by size, sample) > 1),
 g as (select *, digest as grp from s2 qualify count(*) over (partition by digest) > 1),
 k0 as (select *, sum(pinned::int) over (partition by grp) as pins, sum(settled::int) over (partition by grp) as st, count(*) over (partition by grp) as n, min(mtime_s) over (partition by grp) as lo, max(mtime_s) over (partition by grp) as hi from g),
@@ -679,7 +683,7 @@ def sync_case_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sync_hollow(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, listings, baseline = world(spark, sf_dir)
     more = members.unionByName(spark.createDataFrame([("d",)], "member string"))
-    gone = baseline.limit(1).withColumn("member", F.lit("d"))
+    gone = baseline.withColumn("member", F.lit("d"))
     return sync.hollow(more, listings, baseline.unionByName(gone))
 
 
@@ -705,12 +709,9 @@ def transfer_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfer.preview(transfer.classified(*transfer_sides(spark, sf_dir)))
 
 
-@query(f"with i as ({DOCS}) select path, size, row_number() over (order by size desc, path) as place from i qualify place <= 50")
+@query(f"with i as ({DOCS}) select path, size, row_number() over (order by size desc, path) as place from i ")
 def transfer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    first = transfer.in_order(inv_docs(spark, sf_dir).select("path", "size"), "largest").limit(50)
-    return first.withColumn("place", F.row_number().over(W.orderBy(F.desc("size"), "path")).cast("long"))  # over fifty rows
+    return transfer.placed(inv_docs(spark, sf_dir).select("path", "size"), "largest")
 
 
 _HELD = "h as (select concat('d/f', c_nationkey, '-', 2 + (c_custkey % 40), '.txt') as path from customer)"
@@ -804,13 +805,10 @@ def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.searched(table(spark, sf_dir, "part"), "RING", ["p_name", "p_brand"], {"p_type": "SMALL"}).select("p_partkey", "p_name")
 
 
-@query("select p_partkey, row_number() over (order by p_partkey % 100 = 1 desc, regexp_extract(p_brand, '[0-9]+')::int desc, p_partkey) as place from part qualify place <= 40")
+@query("select p_partkey, row_number() over (order by p_partkey % 100 = 1 desc, regexp_extract(p_brand, '[0-9]+')::int desc, p_partkey) as place from part")
 def table_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     order = [*views.table_order("p_brand", True, F.col("p_partkey") % 100 == 1, natural=True), F.col("p_partkey").asc()]
-    place = F.row_number().over(W.orderBy(*order)).cast("long")
-    return table(spark, sf_dir, "part").orderBy(*order).limit(40).withColumn("place", place).select("p_partkey", "place")
+    return graph.numbered(table(spark, sf_dir, "part"), *order).select("p_partkey", "place")
 
 
 @query("select year(o_orderdate)::int as year, count(*) as n, sum(round(o_totalprice)::bigint)::bigint as bytes, count(*) filter (o_orderpriority like '1%') as favourites from orders group by 1")
@@ -898,11 +896,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sink(spark: SparkSession) -> tuple[str, str]:
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stowage-")
-    where = f"{base}/stream-{uuid.uuid4().hex}"
+    where = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return f"{where}/out", f"{where}/state"
 
 

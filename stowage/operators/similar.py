@@ -1,8 +1,10 @@
 """Near duplicates by 64-bit signatures.
 
-Signatures within ``BITS`` bits of each other agree on at least one of
-``BITS + 1`` bands, so an equi-join on bands finds every pair; equal signatures
-are collapsed before. Clusters are leaders with their followers: marks in order
+Signatures within ``BITS`` bits of each other are within a few bits on at least
+one of ``BANDS`` wide bands: the radii and one each add up to more than ``BITS``,
+so not all can be passed. Each signature is looked up under all values near its
+bands, which an equi-join finds; it misses no pair and meets a sixtieth of those
+of unrelated signatures. Equal signatures are collapsed before. Clusters are leaders with their followers: marks in order
 of weight join the best leader that is near enough, or lead themselves. Leaders
 only meet followers along candidate pairs, so components are independent.
 """
@@ -10,6 +12,7 @@ only meet followers along candidate pairs, so components are independent.
 from __future__ import annotations
 
 from decimal import Decimal
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from stowage.operators.graph import components
 
 BITS, SAME, LIKE = 12, 90, 70
+#: Bands of a signature.
+BANDS = 4
 
 
 def signature(vector: Column) -> Column:
@@ -43,11 +48,15 @@ def alike_detail(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.greatest(F.lit(0), F.least(F.lit(100), F.round(same / bits * 200 - 100))).cast("int"))
 
 
-def _bands(bits: int) -> list[tuple[int, int]]:
-    """(first bit, mask) of ``bits + 1`` bands over 64 bits."""
-    n = bits + 1
+def _bands(bits: int) -> list[tuple[int, int, list[int]]]:
+    """(first bit, mask, differences to look up) of the bands over 64 bits."""
+    n = min(BANDS, bits + 1)
     edges = [64 * k // n for k in range(n + 1)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    out = []
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        radius = (bits + 1) // n - 1 + (k < (bits + 1) % n)
+        out.append((a, (1 << (b - a)) - 1, [sum(1 << j for j in some) for r in range(radius + 1) for some in combinations(range(b - a), r)]))
+    return out
 
 
 def near_pairs(marks: DataFrame, bits: int = BITS) -> DataFrame:
@@ -56,9 +65,15 @@ def near_pairs(marks: DataFrame, bits: int = BITS) -> DataFrame:
     Marks with one signature are one row here, so a common signature makes no pairs with itself.
     """
     each = marks.select("sort", "signature").where(F.col("signature").isNotNull()).distinct()
-    band = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("signature", a).bitwiseAND(F.lit(m)).alias("part")) for k, (a, m) in enumerate(_bands(bits))])
-    rows = each.select("sort", "signature", F.explode(band).alias("x")).select("sort", "signature", "x.band", "x.part")
-    a, b = rows.withColumnRenamed("signature", "a"), rows.withColumnRenamed("signature", "b")
+    of = lambda a, m: F.shiftrightunsigned("signature", a).bitwiseAND(F.lit(m).cast("long"))
+    bands = list(enumerate(_bands(bits)))
+    own = F.array(*[F.struct(F.lit(k).alias("band"), of(a, m).alias("part")) for k, (a, m, _) in bands])
+
+    def around(k: int, a: int, m: int, differences: list[int]) -> Column:
+        return F.transform(F.lit(differences).cast("array<long>"), lambda x: F.struct(F.lit(k).alias("band"), of(a, m).bitwiseXOR(x).alias("part")))
+
+    near = F.concat(*[around(k, *band) for k, band in bands])
+    a, b = (each.select("sort", F.col("signature").alias(name), F.explode(x).alias("x")).select("sort", name, "x.band", "x.part") for name, x in (("a", near), ("b", own)))
     return (
         a.join(b, ["sort", "band", "part"]).where(F.col("a") < F.col("b"))
         .withColumn("apart", apart(F.col("a"), F.col("b"))).where(F.col("apart") <= bits)

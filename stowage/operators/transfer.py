@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import paths
+from stowage.operators.graph import numbered
 
 ORDERS = {
     "largest": lambda: [F.desc("size"), F.asc("path")],
@@ -35,6 +36,11 @@ def in_order(files: DataFrame, order: str) -> DataFrame:
     return files.orderBy(*ORDERS[order]())
 
 
+def placed(files: DataFrame, order: str) -> DataFrame:
+    """The files with ``place``, their number from 1 in an order."""
+    return numbered(files, *ORDERS[order]())
+
+
 def disambiguated(rows: DataFrame, target: DataFrame, most: int = 9999) -> DataFrame:
     """Adds ``free``: for a clash the first numbered name, from 2 on, that the target does not hold; null if there is none.
 
