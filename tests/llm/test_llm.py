@@ -1201,6 +1201,27 @@ def test_pipeline_against_brute_force(spark, tmp_path, vocabulary, tiktoken_enco
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
 
 
+def test_pipeline_odd_rows(spark, tmp_path, vocabulary, tiktoken_encoding):
+    """Null ids, null and very long texts, repeated rows and ids, an empty table: each has its stated result."""
+    import corpus_pipeline
+
+    rows = language_rows(60, 5)
+    plain = [(100 + k, t, lang, "s", len(t)) for k, (_, t, lang) in enumerate(rows)]
+    one, other, long = plain[0][1], plain[1][1], " ".join(t for _, t, *_ in plain[:30]) * 40
+    odd = [(None, one, "aa", "s", None), (None, one, "aa", "s", None), (1, None, "aa", None, None), (2, "", None, "s", 0), (3, "12 .. !!", None, "s", 8), (4, long, "aa", "s", len(long)), (5, other, "bb", "s", 1), (5, other, "bb", "s", 1), (5, plain[2][1], "cc", "s", 1)]
+    spark.createDataFrame(plain + odd, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = sorted(r.doc_id for r in got if r.doc_id is not None)
+    # No language: 1, 2, 3. Equal texts: the smallest id stays, once for each of its texts; rows without an id stay.
+    assert ids == [4, 5, 5, *(k for k in range(100, 160) if k not in (101, 102))]
+    assert [list(r.ids) for r in got if r.doc_id is None] == [tiktoken_encoding.encode_ordinary(one)] * 2
+    assert [list(r.ids) for r in got if r.doc_id == 4] == [tiktoken_encoding.encode_ordinary(long)]
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_queries_and_sql_agree_by_name():
     from stowage.llm import queries
 
