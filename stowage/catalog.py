@@ -313,6 +313,28 @@ def plan_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.fingerprint(inv_pages(spark, sf_dir))
 
 
+def tried_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and operations on them of which a fourth each can run, lack a directory, lack a file, or remove what is full."""
+    files = inv_docs(spark, sf_dir).where("path is not null")
+    name, turn = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.pmod("doc_id", F.lit(4))
+    kind = F.when(turn == 3, "rmdir").otherwise("move")
+    source = F.when(turn == 2, F.concat(F.lit("nowhere/"), name)).when(turn == 3, paths.parent(F.col("path"))).otherwise(F.col("path"))
+    target = F.when(turn == 1, F.concat(F.lit("lost/"), name)).when(turn < 3, F.concat(F.lit("moved/"), name))
+    made = spark.range(1).select(F.lit(0).cast("long").alias("ordinal"), F.lit("mkdir").alias("op"), F.lit(None).cast("string").alias("source"), F.lit("moved").alias("target"), F.lit("").alias("because"))
+    return files, made.unionByName(files.select((F.col("doc_id") + 1).alias("ordinal"), kind.alias("op"), source.alias("source"), target.alias("target"), F.lit("").alias("because")))
+
+
+# A directory is full when its turn comes if a file of it stays or has not left yet; once removed it is gone for the next.
+@query(f"""with i as (select doc_id, path, {q_parent('path')} as d from ({DOCS}) where src is not null and lang is not null), t as (select d, doc_id, doc_id % 4 as turn, path from i),
+r as (select d, doc_id, lag(doc_id) over (partition by d order by doc_id) as before from t where turn = 3)
+select doc_id + 1 as ordinal, 'move' as op, 'lost' as path, 'no directory' as why from t where turn = 1
+union all select doc_id + 1, 'move', concat('nowhere/', doc_id, '.txt'), 'nothing to move' from t where turn = 2
+union all select doc_id + 1, 'rmdir', d, 'not empty' from r where exists (select 1 from t where t.d = r.d and (t.turn in (2, 3) or t.doc_id > r.doc_id))
+union all select doc_id + 1, 'rmdir', d, 'no directory' from r where before is not null""")
+def plan_broken_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.broken_steps(*tried_steps(spark, sf_dir))
+
+
 # Exact duplicates
 
 #: The sample's digest from its definition: size, first piece, pieces at one and two thirds, last piece, where they don't overlap.
@@ -339,6 +361,15 @@ def dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.sharing(duplicates.candidates(inv_docs(spark, sf_dir)), "size").select("path", "size")
 
 
+@query(f"""with {FILES}, s1 as (select * from f where size > 0 qualify count(*) over (partition by size) > 1), s2 as (select * from s1 qualify count(*) over (partition by size, sample) > 1),
+m as (select *, (size * 33 // 100 > {_PIECE} and size > size * 33 // 100 + {_PIECE})::int + (size * 66 // 100 > {_PIECE} and size > size * 66 // 100 + {_PIECE})::int + (size > 2 * {_PIECE})::int as further from s1)
+select 'list' as stage, (select count(*) from f where size > 0) as files, (select count(distinct {q_parent('path')}) from f where size > 0) as requests, 0::bigint as bytes
+union all select 'sample', count(*), coalesce(sum(1 + further), 0)::bigint, coalesce(sum(least(size, {_PIECE}) + further * {_PIECE}), 0)::bigint from m
+union all select 'whole', count(*), count(*), coalesce(sum(size), 0)::bigint from s2 union all select 'all', count(*), count(*), coalesce(sum(size), 0)::bigint from f where size > 0""")
+def dup_scan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.scan_cost(inv_docs(spark, sf_dir))
+
+
 @query(f"with {GROUPED} select path, sample from s2")
 def dup_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.sharing(duplicates.sharing(duplicates.candidates(inv_docs(spark, sf_dir)), "size"), "size", "sample").select("path", "sample")
@@ -754,6 +785,14 @@ g as (select path, level::int as level, segs[level] as segment, case when segs[l
   when level > 1 and regexp_matches(segs[level - 1], '^(19|20)[0-9]{{2}}$') and segs[level] = strftime(make_timestamp(mtime_s * 1000000), '%m') then 'month' when segs[level] = 'Documents' then 'kind' else 'name' end as guess from u)"""
 
 
+@query(f"""with {_LEARNED}, n as (select path, len(string_split({q_parent('path')}, '/')) as depth, {q_parent('path')} as d from i where {q_parent('path')} <> ''),
+u as (select depth from n group by 1 order by count(*) desc, depth desc limit 1) select distinct d as directory from n join u using (depth)""")
+def learn_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deep = learn.at_usual_depth(learned_docs(spark, sf_dir))
+    levels = deep.agg(F.max(paths.depth(F.col("path")))).first()[0]
+    return learn.named_branches(deep, ["named"] * levels).select(F.array_join("branch", "/").alias("directory"))
+
+
 @query(f"with {_LEVELS} select level, guess, count(*) as n from g group by 1, 2")
 def learn_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.levels(learned_docs(spark, sf_dir)).groupBy("level", "guess").agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,8 @@ is a window's first row; folders compare by digests of their layouts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +38,27 @@ def sample_digest(content: Column, size: Column) -> Column:
     return F.sha2(F.concat(F.hex(size).cast("binary"), F.substring(content, 1, PIECE), *inner, tail), 256)
 
 
+def scan_cost(inventory: DataFrame) -> DataFrame:
+    """stage, files, requests, bytes of a search in tiers (list, sample, whole), and of one that reads everything (all).
+
+    The inventory has path, size and sample. A listing is a request for each
+    directory; a sample reads up to four pieces of files that share their
+    size; contents are only read of those that share their sample as well.
+    """
+    files = candidates(inventory).select("path", "size", "sample")
+    inner = [(at > PIECE) & (F.col("size") > at + PIECE) for at in (F.floor(F.col("size") * 33 / 100), F.floor(F.col("size") * 66 / 100))]
+    further = sum((x.cast("long") for x in inner), (F.col("size") > 2 * PIECE).cast("long"))
+    stages = {
+        "list": (files.groupBy(paths.parent(F.col("path"))).agg(F.count(F.lit(1)).alias("n")), F.sum("n"), F.count(F.lit(1)), F.lit(0)),
+        "sample": (sharing(files, "size"), F.count(F.lit(1)), F.sum(further + 1), F.sum(F.least("size", F.lit(PIECE)) + further * PIECE)),
+        "whole": (sharing(sharing(files, "size"), "size", "sample"), F.count(F.lit(1)), F.count(F.lit(1)), F.sum("size")),
+        "all": (files, F.count(F.lit(1)), F.count(F.lit(1)), F.sum("size")),
+    }
+    zero = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    parts = [rows.agg(zero(n).alias("files"), zero(requests).alias("requests"), zero(size).alias("bytes")).select(F.lit(stage).alias("stage"), "*") for stage, (rows, n, requests, size) in stages.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cached_digests(inventory: DataFrame, cache: DataFrame) -> DataFrame:
     """Adds ``known``: the digest remembered for a path while its size and time, to the second, are the same."""
     second = lambda c: F.date_trunc("second", c)

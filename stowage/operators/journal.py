@@ -8,7 +8,9 @@ Rows are only ever appended: a status is the newest row's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -159,6 +161,58 @@ def reset(ops: DataFrame) -> None:
         raise ValueError("operations are unfinished")
 
 
+def archive(tables: dict[str, DataFrame], folder: str) -> str:
+    """Puts the journal aside below ``folder``, on any file system that Spark reaches; returns the archive's name, which sorts by time."""
+    name = f"{time.time_ns():020d}"
+    export(tables, f"{folder}/{name}")
+    return name
+
+
+def cleared(tables: dict[str, DataFrame], folder: str) -> tuple[str, dict[str, DataFrame]]:
+    """The archive that the journal was put into, and its tables without rows; not while operations are unfinished."""
+    reset(tables["ops"])
+    return archive(tables, folder), {name: df.limit(0) for name, df in tables.items()}
+
+
+def archives(spark: SparkSession, folder: str) -> list[str]:
+    """Names of archives, newest first."""
+    files, path = _hadoop(spark, folder)
+    found = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    return sorted((n for n in found if n.isdigit()), reverse=True)
+
+
+def restored(tables: dict[str, DataFrame], folder: str, name: str) -> tuple[str, dict[str, DataFrame]]:
+    """The archive that the present journal was put into, and the tables of the archive ``name``.
+
+    What can't be read fails before anything is put aside.
+    """
+    spark = tables["ops"].sparkSession
+    reset(tables["ops"])
+    _known(spark, folder, name)
+    schemas = {n: df.schema for n, df in tables.items()}
+    back = import_(spark, f"{folder}/{name}", schemas, {})
+    for df in back.values():
+        df.isEmpty()
+    return archive(tables, folder), back
+
+
+def forget_archive(spark: SparkSession, folder: str, name: str) -> None:
+    """Deletes an archive for good."""
+    _known(spark, folder, name)
+    files, path = _hadoop(spark, f"{folder}/{name}")
+    files.delete(path, True)
+
+
+def _known(spark: SparkSession, folder: str, name: str) -> None:
+    if name not in archives(spark, folder):
+        raise KeyError(f"no archive is called {name!r}")
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def quarantined(ops: DataFrame, root: str) -> DataFrame:
     """path, original, id of files that were set aside and are still there by the journal."""
     aside = ops.where((F.col("status") == "committed") & F.col("dst").startswith(root + "/")).groupBy(F.col("dst").alias("path")).agg(F.max_by("src", "id").alias("original"), F.max("id").alias("id"))

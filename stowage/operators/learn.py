@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from itertools import chain, count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import paths
 from stowage.functions.grammar import wall
+from stowage.plans import layouts
 
 #: Shares and numbers from which suggestions are made.
 AGREE, LOPSIDED, CROWDED, VERY_CROWDED, DATED, THIN, LEAVES, THIN_SHARE = (4, 5), 95, 150, 1000, 90, 2, 8, 75
@@ -65,16 +69,49 @@ def suggestions(inventory: DataFrame) -> DataFrame:
     return crowded.unionByName(lopsided).unionByName(thin)
 
 
-def learn(inventory: DataFrame) -> str:
-    """A policy's text that keeps the tree as it is: one rule from what the levels mean, with names taken from the paths' own segments."""
-    rows = settled_levels(inventory).orderBy("level").collect()  # as many as a path has levels
-    parts, variables = [], []
-    for r in rows:
-        if r.meaning in ("year", "month"):
-            parts.append("{date:%Y}" if r.meaning == "year" else "{date:%m}")
-            variables = ['vars.date = { from = ["exif.DateTimeOriginal", "mtime"] }']
-        elif r.meaning == "ext":
-            parts.append("{ext|lower}")
-        else:
-            break
-    return "\n".join(['[folder]', 'name = "learned"', "", "[[rule]]", 'name = "as-it-is"', f'path = "{"/".join(parts) or "."}"', 'match = { glob = ["**"] }', *variables, ""])
+def at_usual_depth(inventory: DataFrame) -> DataFrame:
+    """The files below directories that are as deep as most of these are; of equals the deepest."""
+    files = inventory.where(~paths.name(F.col("path")).startswith(".") & (paths.parent(F.col("path")) != ""))
+    depths = files.groupBy(paths.depth(F.col("path")).alias("depth")).agg(F.count(F.lit(1)).alias("files"))
+    usual = depths.agg(F.max(F.struct("files", "depth")).alias("m")).select(F.col("m.depth").alias("_depth"))
+    return files.join(F.broadcast(usual), paths.depth(F.col("path")) == F.col("_depth")).drop("_depth")
+
+
+def named_branches(inventory: DataFrame, meanings: list[str]) -> DataFrame:
+    """branch of every combination of names that occurs: an array with the segments of levels that are names or kinds, null for others."""
+    of = F.split(paths.parent(F.col("path")), "/")
+    kept = [F.get(of, F.lit(k)) if m in ("named", "kind") else F.lit(None).cast("string") for k, m in enumerate(meanings)]
+    return inventory.select(F.array(*kept).alias("branch")).distinct()
+
+
+#: How a level is written in a rule's path, where it isn't by the segment itself.
+WRITTEN = {"year": "{date:%Y}", "month": "{date:%m}", "ext": "{ext}", "size": "{band}"}
+
+
+def learn(inventory: DataFrame, most_branches: int = 1000) -> str:
+    """The text of a policy that keeps the tree as it is: a rule for each branch of names.
+
+    Names can't be told from files, so they are matched on where files are; all
+    else is read off the files. A policy is a document for people: a tree with
+    more branches than ``most_branches`` raises ValueError rather than lose some.
+    """
+    deep = at_usual_depth(inventory)
+    meanings = [r.meaning for r in settled_levels(deep).orderBy("level").collect()]  # as many as a path has levels
+    branches_ = [r.branch for r in named_branches(deep, meanings).limit(most_branches + 1).collect()] if meanings else []
+    if len(branches_) > most_branches:
+        raise ValueError(f"the tree has more than {most_branches} branches")
+    rules, used = [], set()
+    for branch in sorted(branches_, key=lambda b: [x or "" for x in b]):
+        names = [x for x, m in zip(branch, meanings, strict=True) if m == "named"]
+        kind = next((KIND_WORDS.get(x.lower()) for x, m in zip(branch, meanings, strict=True) if m == "kind"), None)
+        match = {"mime": f"{kind}/*"} if kind else {}
+        if names:
+            # Loose below its names, or where it is by all of its levels.
+            match["glob"] = list(dict.fromkeys(("/".join(names) + "/*", "/".join([x or "*" for x in branch] + ["*"]))))
+        word = re.sub("[^a-z0-9]+", "-", "-".join(x for x in branch if x).lower()).strip("-") or "everything"
+        name = next(n for n in chain([word], (f"{word}-{k}" for k in count(2))) if n not in used)
+        used.add(name)
+        variables = ({"date": {"from": layouts.TAKEN}} if {"year", "month"} & set(meanings) else {}) | ({"band": {"from": "size", "bucket": layouts.BANDS}} if "size" in meanings else {})
+        path = "/".join(WRITTEN.get(m) or x for x, m in zip(branch, meanings, strict=True))
+        rules.append({"name": name, "path": path, "match": match or {"glob": ["**"]}} | ({"vars": variables} if variables else {}))
+    return layouts.written({"name": "learned", "ignore": layouts.DOWNLOADING}, layouts.RENAMING, rules)

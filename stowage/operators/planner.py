@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stowage.functions import grammar, paths
@@ -287,6 +288,54 @@ def apply_on_paper(inventory: DataFrame, ops: DataFrame) -> DataFrame:
     return after.unionByName(new, allowMissingColumns=True).select(*whole.columns)
 
 
+def broken_steps(inventory: DataFrame, ops: DataFrame) -> DataFrame:
+    """ordinal, op, path, why of operations that can't run when their turn comes, each judged as if all before it had run.
+
+    What holds a path changes at few operations, so each path has intervals of
+    ordinals, and what an operation needs is looked up in them. Set-aside
+    places are not in inventories: what is said of them is taken as true.
+    """
+    whole = complete(inventory)
+    is_dir = F.coalesce(F.col("is_dir"), F.lit(False))
+    held = whole.select("path", F.when(is_dir, "dir").otherwise("file").alias("holds")).union(whole.select(F.explode(paths.ancestors(F.col("path"))), F.lit("dir"))).distinct()
+
+    def steps(kinds: tuple[str, ...], path: str | Column, *more: Column) -> DataFrame:
+        return ops.where(F.col("op").isin(*kinds)).select((F.col(path) if isinstance(path, str) else path).alias("path"), "ordinal", *more)
+
+    moved, made, gone = ("move", "quarantine"), ("mkdir",), ("rmdir",)
+    changes = (
+        held.select("path", F.lit(-1).cast("long").alias("since"), "holds")
+        .union(steps((*moved, "trash"), "source", F.lit("nothing"))).union(steps(moved, "target", F.lit("file")))
+        .union(steps(made, "target", F.lit("dir"))).union(steps(gone, "source", F.lit("nothing")))
+    )
+    spans = checkpointed(changes.withColumn("until", F.lead("since").over(W.partitionBy("path").orderBy("since", "holds"))))
+
+    needs = lambda *kinds: F.array(*map(F.lit, kinds)).alias("needs")
+    why = lambda text: F.lit(text).alias("why")
+    asked = (
+        steps((*moved, "trash"), "source", needs("file"), why("nothing to move"))
+        .union(steps(moved, "target", needs("nothing"), why("taken")))
+        .union(steps(moved, F.explode(paths.ancestors(F.col("target"))), needs("dir"), why("no directory")))
+        .union(steps(made, F.explode(paths.ancestors(F.col("target"))), needs("dir"), why("no directory")))
+        .union(steps(made, "target", needs("nothing", "dir"), why("taken")))
+        .union(steps(gone, "source", needs("dir"), why("no directory")))
+    ).where(~paths.is_reserved(F.col("path")))
+    during = (F.col("since") < F.col("ordinal")) & (F.col("until").isNull() | (F.col("until") >= F.col("ordinal")))
+    found = asked.join(spans.withColumnRenamed("path", "place"), (F.col("path") == F.col("place")) & during, "left")
+    failed = found.where(~F.array_contains("needs", F.coalesce("holds", F.lit("nothing")))).select("ordinal", "path", "why")
+    inside = spans.where("holds <> 'nothing'").select(paths.parent(F.col("path")).alias("place"), "since", "until")
+    full = steps(gone, "source").join(inside, (F.col("path") == F.col("place")) & during, "left_semi").select("ordinal", "path", why("not empty"))
+    return failed.union(full).distinct().join(ops.select("ordinal", "op"), "ordinal").select("ordinal", "op", "path", "why")
+
+
+def replayed(inventory: DataFrame, ops: DataFrame) -> DataFrame:
+    """``apply_on_paper``, if every operation can run in its turn; else ValueError with the first that can't."""
+    first = broken_steps(inventory, ops).agg(F.min(F.struct("ordinal", "op", "path", "why")).alias("first")).first()["first"]
+    if first is not None:
+        raise ValueError(f"operation {first.ordinal}, {first.op} {first.path!r}: {first.why}")
+    return apply_on_paper(inventory, ops)
+
+
 def fingerprint(inventory: DataFrame) -> DataFrame:
     """One row: a digest of all paths, sizes and times, whatever the rows' order. Digests of rows are summed, so nothing is gathered."""
     row = F.sha2(F.concat_ws("\0", "path", F.col("size").cast("string"), F.unix_millis("mtime").cast("string")), 256)

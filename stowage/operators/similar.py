@@ -11,9 +11,11 @@ only meet followers along candidate pairs, so components are independent.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -114,6 +116,44 @@ def clusters(marks: DataFrame, bits: int = BITS) -> DataFrame:
     return rows.select("sort", "label", "path", "signature", "rank").groupBy("sort", "label").applyInPandas(lead, "sort string, leader string, path string, alike int, band string")
 
 
+def _shrunk(grey: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A picture's grey values at another size, by triangles as wide as the pixels they stand for."""
+
+    def weights(old: int, new: int) -> np.ndarray:
+        ratio = old / new
+        reach = max(ratio, 1.0)
+        at = np.abs(np.arange(old)[None, :] + 0.5 - (np.arange(new)[:, None] + 0.5) * ratio) / reach
+        w = np.maximum(1 - at, 0)
+        return w / w.sum(1, keepdims=True)
+
+    return np.clip(np.rint(weights(grey.shape[0], height) @ grey @ weights(grey.shape[1], width).T), 0, 255)
+
+
+def gradient(grey: np.ndarray, edge: int) -> list[int]:
+    """Bits, 64 to a signed number, first one lowest: whether each of edge x edge pixels is brighter than the one to its right."""
+    small = _shrunk(np.asarray(grey, float), edge, edge + 1)
+    bits = (small[:, :-1] > small[:, 1:]).ravel()
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
+def picture_prints(pictures: DataFrame) -> DataFrame:
+    """path, signature (8 x 8), weight (pixels), detail (16 x 16) of decoded pictures (path, width, height, grey: a byte each, by rows).
+
+    Pictures without pixels, or with other than width x height of them, have nulls.
+    """
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for path, width, height, grey in part[["path", "width", "height", "grey"]].itertuples(index=False):
+                whole = grey is not None and width > 0 and height > 0 and len(grey) == width * height
+                image = np.frombuffer(grey, np.uint8).reshape(int(height), int(width)) if whole else None
+                out.append((path, gradient(image, 8)[0], int(width * height), gradient(image, 16)) if whole else (path, None, None, None))
+            yield pd.DataFrame(out, columns=["path", "signature", "weight", "detail"]).astype({"signature": "Int64", "weight": "Int64"})
+
+    return pictures.mapInPandas(read, "path string, signature long, weight long, detail array<long>")
+
+
 def encode_print(algorithm: Column, sign: Column, weight: Column, detail: Column) -> Column:
     """``algorithm:signature:weight:detail`` with signatures in hexadecimal."""
     wide = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))

@@ -106,6 +106,16 @@ def load_plan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ordinal long, op string, source string, target string, because string").json(path)
 
 
+def documents(rows: DataFrame) -> DataFrame:
+    """json: each row as a document, nulls included; for explanations, groups of copies and decisions of members."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def save_documents(rows: DataFrame, path: str) -> None:
+    """The same as lines of text, in as many files as there are partitions."""
+    documents(rows).write.mode("error").text(path)
+
+
 def parse_end(text: str) -> tuple[str | None, str]:
     """(connection, path) of ``name:path``; one letter before the colon is a drive."""
     head, colon, tail = text.partition(":")
