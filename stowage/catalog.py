@@ -297,18 +297,26 @@ def plan_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.waiting(planner.wanted(planned_pages(spark, sf_dir), load(POLICY)))
 
 
-@query()
+# None of these moves takes a name that another one leaves, so the order is that of the phases alone.
+ORDERED = f"""{DIRECTORIES}, o as (select 0 as phase, len(string_split(path, '/')) as depth, op, null as source, path as target, 'needed' as because from acts where op = 'mkdir'
+union all select 1, 0, 'move', path, final, 'policy' from named union all select 2, -len(string_split(path, '/')), op, path, null, 'emptied' from acts where op = 'rmdir')"""
+
+
+@query(f"with {ORDERED} select row_number() over (order by phase, depth, source, target) - 1 as ordinal, op, source, target, because from o")
 def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.plan(planned_pages(spark, sf_dir), load(POLICY)).ops
 
 
-@query()
+# A second plan would move what these rules have moved: names with a slug match no more, and a language is read off the place left.
+@query(f"""with {WANTED}, again as (select count(*) as n from wanted join placed using (path) where reason is null and (rule = 'blog' or (rule = 'web' and placed.target not like 'web/OTHER/%')))
+select reason, count(*) as n, (select again.n = 0 from again) as settles from wanted where reason is not null group by 1""")
 def plan_settles(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = planner.plan(planned_pages(spark, sf_dir), load(POLICY))
     return made.untouched.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).withColumn("settles", F.lit(made.settles))
 
 
-@query()
+@query(f"""with i as ({PAGES}), h as (select sha256(concat_ws(chr(0), path, size, mtime_s * 1000)) as h from i), n as (select count(*) as n, {", ".join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::ubigint)::hugeint as p{k}" for k in range(4))} from h)
+select n as rows, sha256(concat_ws(',', p0, p1, p2, p3)) as fingerprint from n""")
 def plan_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.fingerprint(inv_pages(spark, sf_dir))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import grammar, paths
 from stowage.operators.classify import complete, place
-from stowage.operators.graph import checkpointed
+from stowage.operators.graph import checkpointed, components, numbered
 from stowage.plans.policy import Policy
 
 #: Numbers tried for a taken name; a plan is over its limit from so many files, or such a share of all, on.
@@ -233,9 +234,10 @@ def ordered(ops: list[tuple], before: list[tuple[int, int]]) -> list[tuple]:
                     heapq.heappush(ready, (rank[j], j))
         if left:
             # What is left waits in rings: the first move steps aside, so its place is free.
-            i = min((i for i in left if by_id[i][1] in ("move", "quarantine") and _in_ring(i, after, left)), key=rank.get)
+            i = next(i for i in sorted(left, key=rank.get) if by_id[i][1] in ("move", "quarantine") and _in_ring(i, after, left))
             _, op, source, target, because = by_id[i]
-            aside = f"{target}.stowage-{rank[i]}-swap"
+            # Beside its source, whose directory is there; that of its target may not be yet.
+            aside = f"{source}.stowage-{rank[i]}-swap"
             out.append((i, "move", source, aside, "swap"))
             late.append((i, op, aside, target, because))
             left.discard(i)
@@ -259,15 +261,62 @@ def _in_ring(i: int, after: dict[int, set[int]], left: set[int]) -> bool:
     return False
 
 
+def in_order(ops: DataFrame) -> DataFrame:
+    """ordinal, op, source, target, because: operations in an order that can be executed, found without gathering them.
+
+    First come directories on whose names no file has to be waited for, by
+    depth; last come moves that nothing waits for, and behind them directories
+    to remove, deepest first. What is left between are chains and rings of names
+    that are handed on; each is sequential by nature and ordered in one place,
+    apart from the others.
+    """
+    canonical = [F.asc_nulls_first(c) for c in ("op", "source", "target", "because")]
+    rows = checkpointed(numbered(ops, *canonical).withColumnRenamed("place", "id"))
+    is_move = F.col("op").isin("move", "quarantine")
+    mkdirs = rows.where("op = 'mkdir'").select("id", "target")
+    # Directories that wait for a file to leave their own name or that of one above them.
+    held = rows.where(is_move).select(F.col("source").alias("k")).distinct()
+    above = mkdirs.select("id", F.explode(F.concat(F.array("target"), paths.ancestors(F.col("target")))).alias("k"))
+    waits = above.join(held, "k", "left_semi").select("id").distinct()
+    acts = rows.where("op <> 'rmdir'").join(waits.withColumn("waits", F.lit(True)), "id", "left").where(is_move | F.col("waits")).drop("waits")
+    links = checkpointed(edges(acts))
+    knots = checkpointed(links.where("first <> then").select(F.col("first").alias("id")).distinct())
+    inner = links.join(knots.withColumnRenamed("id", "then"), "then", "left_semi")
+    between = _handed_on(acts.join(knots, "id", "left_semi"), checkpointed(inner)) if not knots.isEmpty() else None
+
+    def phase(of: DataFrame, n: int, depth: Column, group: Column, step: Column) -> DataFrame:
+        return of.select(F.lit(n).alias("_phase"), depth.cast("int").alias("_depth"), group.cast("long").alias("_group"), step.cast("long").alias("_step"), "op", "source", "target", "because")
+
+    none, own = F.lit(0), F.col("id")
+    parts = [
+        phase(rows.where("op = 'mkdir'").join(waits, "id", "left_anti"), 0, paths.depth(F.col("target")), own, none),
+        phase(acts.join(knots, "id", "left_anti"), 2, none, own, none),
+        phase(rows.where("op = 'rmdir'"), 3, -paths.depth(F.col("source")), own, none),
+    ]
+    if between is not None:
+        parts.append(phase(between, 1, none, F.col("root"), F.col("step")))
+    placed = numbered(reduce(DataFrame.unionByName, parts), F.col("_phase"), F.col("_depth"), F.col("_group"), F.col("_step"))
+    return checkpointed(placed.select((F.col("place") - 1).alias("ordinal"), "op", "source", "target", "because"))
+
+
+def _handed_on(acts: DataFrame, links: DataFrame) -> DataFrame:
+    """root, step, op, source, target, because of operations (id and the rest), each set of linked ones in order."""
+    labels = components(links.select(F.col("first").alias("a"), F.col("then").alias("b")).union(acts.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    of = acts.join(labels, acts.id == labels.node).select("root", *acts.columns)
+    within = links.join(labels, links["first"] == labels.node).select(F.col("root").alias("of"), "first", "then")
+
+    def order(ops: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        rows = [tuple(None if pd.isna(x) else x for x in r) for r in ops.sort_values("id")[["id", "op", "source", "target", "because"]].itertuples(index=False)]
+        out = ordered(rows, list(before[["first", "then"]].itertuples(index=False, name=None)))
+        return pd.DataFrame([(ops["root"].iloc[0], k, *o[1:]) for k, o in enumerate(out)], columns=["root", "step", "op", "source", "target", "because"])
+
+    return of.groupBy("root").cogroup(within.groupBy("of")).applyInPandas(order, "root long, step long, " + OPS)
+
+
 def plan(inventory: DataFrame, policy: Policy) -> Plan:
-    """The plan for a tree. A plan is read by people and executed from one place, so its operations come to the driver to be ordered."""
-    spark = inventory.sparkSession
+    """The plan for a tree."""
     ops, stays = operations(inventory, policy)
-    rows = sorted(map(tuple, ops.collect()), key=lambda r: tuple(x or "" for x in r))
-    numbered = [(k, *r) for k, r in enumerate(rows)]
-    frame = spark.createDataFrame(numbered, "id long, " + OPS)
-    order = ordered(numbered, [(r.first, r.then) for r in edges(frame).collect()]) if rows else []
-    final = spark.createDataFrame([(k, *o[1:]) for k, o in enumerate(order)], "ordinal long, " + OPS)
+    final = in_order(ops)
     again, _ = operations(apply_on_paper(inventory, final), policy)
     return Plan(final, stays, again.where(F.col("op").isin("move", "quarantine")).isEmpty())
 

@@ -232,3 +232,21 @@ def test_stop_and_queue(tmp_path):
     go.set()
     assert queue.run(lambda s: seen.append(2) or "done") == "done" and seen == [1, 2]
     first.join()
+
+
+def test_names_handed_on_in_rings_and_chains(spark):
+    """Rings, chains, and a file that has to go below its own name, apart from each other and from what waits for nothing."""
+    chain = [("move", f"c/{k}", f"c/{k + 1}") for k in range(12)]
+    rings = [("move", f"r{k}/{a}", f"r{k}/{b}") for k in range(3) for a, b in ("xy", "yz", "zx")]
+    below = [("mkdir", None, "f"), ("move", "f", "f/g"), ("mkdir", None, "f/d"), ("move", "old/k", "f/d/k"), ("rmdir", "old", None)]
+    plain = [("mkdir", None, "n"), ("mkdir", None, "n/m"), ("move", "p", "n/m/p")]
+    ops = [(*o, "") for o in chain + rings + below + plain]
+    random.Random(2).shuffle(ops)
+    files = sorted({o[1] for o in ops if o[0] == "move"})
+    inventory = spark.createDataFrame([(f, False) for f in files], "path string, is_dir boolean")
+    made = planner.in_order(spark.createDataFrame(ops, planner.OPS))
+    rows = made.orderBy("ordinal").collect()
+    assert [r.ordinal for r in rows] == list(range(len(ops) + 4))  # one more for each ring
+    assert planner.broken_steps(inventory, made).collect() == []
+    after = {r.path for r in planner.replayed(inventory, made).where("not coalesce(is_dir, false)").collect()}
+    assert after == {o[2] for o in ops if o[0] == "move"}
