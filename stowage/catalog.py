@@ -904,7 +904,8 @@ def lately(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_type", F.unix_micros("head").alias("head"), "n")
 
 
-@query()
+@query(f"""with {DIRECTORIES} select i.path, 'before' as side, n.path is not null as moves from i left join named n using (path)
+union all select coalesce(n.final, i.path), 'after', n.path is not null from i left join named n using (path) union all select path, 'after', false from acts where op = 'mkdir'""")
 def preview_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     inventory = planned_pages(spark, sf_dir)
     ops, _ = planner.operations(inventory, load(POLICY))
@@ -965,7 +966,8 @@ def without_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.without_echoes(events, own, 600).select("event_id")
 
 
-@query()
+# Events wait until both streams, events and own writes, are a minute past them.
+@query(f"with {_ECHOES} select event_id from e where not exists (select 1 from o where o.path = e.path and e.t >= own_at and e.t <= own_at + 600000000) and t <= least((select max(t) from e), (select max(own_at) from o)) - 60000000")
 def echo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = watched(event_stream(spark, sf_dir)).where("event_id % 50 = 0").select("path", F.col("ts").alias("at"))
     return watch.run_available(watch.without_echoes_stream(watched(event_stream(spark, sf_dir)), own, 600).select("event_id"), *_sink(spark))
@@ -979,7 +981,13 @@ def watched_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.relevant(events, roots).select("event_id", "root")
 
 
-@query()
+# Between two resets (a change or a failure) waits only double, so each follows from the last reset before it.
+@query(f"""with l as (select concat('r', user_id) as root, event_id as look, floor(value / 20)::bigint::varchar as digest, event_type = 'error' as failed, row_number() over (partition by user_id order by event_id) as k from events),
+c as (select *, not failed and digest is distinct from last_value(case when not failed then digest end ignore nulls) over (partition by root order by k rows between unbounded preceding and 1 preceding) as changed,
+  k - coalesce(max(case when not failed then k end) over (partition by root order by k), 0) as failures from l),
+w as (select *, case when failed then list_extract({list(watch.LADDER)}, least(failures, {len(watch.LADDER)})) when changed then {watch.LEAST_S} end as base from c),
+r as (select *, last_value(base ignore nulls) over (partition by root order by k rows between unbounded preceding and current row) as start, k - max(case when base is not null then k end) over (partition by root order by k) as quiet from w)
+select root, look, changed, (case when quiet = 0 then start else least({watch.MOST_S}, greatest({watch.LEAST_S}, start * 2) * power(2, least(quiet, 30) - 1)) end)::int as wait_s from r""")
 def poll_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     looks = event_stream(spark, sf_dir).select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("root"), F.col("event_id").alias("look"), F.floor(F.col("value") / 20).cast("string").alias("digest"), (F.col("event_type") == "error").alias("failed"))
     return watch.run_available(watch.polls(looks), *_sink(spark))

@@ -47,7 +47,7 @@ def without_echoes(events: DataFrame, own: DataFrame, ttl_s: int = ECHO_S) -> Da
 
 
 def without_echoes_stream(events: DataFrame, own: DataFrame, ttl_s: int = ECHO_S, lateness_s: int = 60) -> DataFrame:
-    """The same over two streams. Left rows wait until no echo can come, so state is bounded by the watermarks."""
+    """The same over two streams. Left rows wait until no echo can come, that is until both streams are past them; so state is bounded by the watermarks."""
     e = events.withWatermark("ts", f"{lateness_s} seconds")
     o = own.select(F.col("path").alias("own_path"), F.col("at").alias("own_at")).withWatermark("own_at", f"{lateness_s} seconds")
     joined = e.join(o, F.expr(f"path = own_path and ts >= own_at and ts <= own_at + interval {ttl_s} seconds"), "leftOuter")
