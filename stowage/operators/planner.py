@@ -9,6 +9,7 @@ the paths they touch.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -71,45 +72,93 @@ def assign(decided: DataFrame, inventory: DataFrame, policy: Policy) -> DataFram
     stays = decided.where(F.col("want").isNull()).select("path")
     is_dir = F.coalesce(F.col("is_dir"), F.lit(False))
     folders = inventory.where(is_dir).select("path").union(inventory.where(~is_dir).select(F.explode(paths.ancestors(F.col("path"))))).distinct()
-    rows = (
-        movers.select(_family(F.col("want")).alias("family"), F.lit("mover").alias("role"), "path", "want")
-        .unionByName(stays.select(_family(F.col("path")).alias("family"), F.lit("stays").alias("role"), "path", F.col("path").alias("want")))
-        .unionByName(folders.select(_family(F.col("path")).alias("family"), F.lit("folder").alias("role"), "path", F.col("path").alias("want")))
-    )
-    # Only families that something moves into take part.
-    rows = rows.join(movers.select(_family(F.col("want")).alias("family")).distinct(), "family", "left_semi")
-    how = policy.on_conflict
+    how, most = policy.on_conflict, NUMBERS
+    plain = lambda rows, kind, final: rows.select("path", F.lit(kind).alias("kind"), final.cast("string").alias("final"))
+    none = F.lit(None)
+
+    # A want that a folder holds, or a file that stays where that decides, is settled whatever the others want.
+    barred = movers.join(folders.select(F.col("path").alias("want")), "want", "left_semi")
+    done, left = [plain(barred, "blocked", none)], movers.join(folders.select(F.col("path").alias("want")), "want", "left_anti")
+    if how in ("skip", "quarantine"):
+        taken = stays.select(F.col("path").alias("want"))
+        hit = left.join(taken, "want", "left_semi")
+        done.append(plain(hit, "skipped", none) if how == "skip" else plain(hit, "quarantine", F.concat(F.lit(f"{paths.QUARANTINE}/"), "path")))
+        left = left.join(taken, "want", "left_anti")
+    left = checkpointed(left.withColumn("family", _family(F.col("want"))))
+
+    # Behind as many movers as there are numbers, a want has no name left, but for files that have one of its names already.
+    first = left.withColumn("_rank", F.row_number().over(W.partitionBy("want").orderBy("path"))).where(F.col("_rank") <= most + 1).select("path")
+    late = left.join(first, "path", "left_anti").where(_family(F.col("path")) != F.col("family"))
+    done.append(plain(late, "blocked", none))
+    left = checkpointed(left.join(late.select("path"), "path", "left_anti"))
+
+    # A family in which every want is wanted once and free needs no numbers.
+    wants = left.groupBy("family", "want").agg(F.count(F.lit(1)).alias("n"))
+    wants = wants.join(stays.select(F.col("path").alias("want"), F.lit(1).alias("held")), "want", "left")
+    contested = checkpointed(wants.where("n > 1 or held = 1").select("family").distinct())
+    calm = left.join(contested, "family", "left_anti")
+    done.append(calm.select("path", F.when(F.col("want") == F.col("path"), "already_there").otherwise("move").alias("kind"), F.col("want").alias("final")))
+
+    of = lambda rows, role: rows.select(_family(F.col("path")).alias("family"), F.lit(role).alias("role"), "path", F.col("path").alias("want"))
+    rows = left.select("family", F.lit("mover").alias("role"), "path", "want").unionByName(of(stays, "stays")).unionByName(of(folders, "folder"))
+    rows = rows.join(contested, "family", "left_semi")
 
     def give(group: pd.DataFrame) -> pd.DataFrame:
-        held = set(group.loc[group.role == "stays", "path"])
-        folders = set(group.loc[group.role == "folder", "path"])
-        claimed: set[str] = set()
-        out = []
-        for r in group[group.role == "mover"].sort_values("path").itertuples():
-            final, kind = r.want, "move"
-            if final in folders:
-                out.append((r.path, "blocked", None))
+        role = {r: set(group.loc[group.role == r, "path"]) for r in ("stays", "folder")}
+        wanted_ = group[group.role == "mover"].sort_values("path")[["path", "want"]].itertuples(index=False, name=None)
+        return pd.DataFrame(given(wanted_, role["stays"], role["folder"], how, most), columns=["path", "kind", "final"])
+
+    done.append(rows.groupBy("family").applyInPandas(give, "path string, kind string, final string"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def given(movers: Iterable[tuple[str, str]], held: set[str], folders: set[str], how: str, most: int) -> list[tuple]:
+    """(path, kind, final) of movers (path, want) in the order of their paths."""
+    claimed: set[str] = set()
+    held = set(held)
+    #: The number from which on a want's names have not been tried; names are never given back.
+    untried: dict[str, int] = {}
+    out = []
+
+    def free(name: str) -> bool:
+        return name not in claimed and name not in held and name not in folders
+
+    for path, want in movers:
+        final, kind = want, "move"
+        if want in folders:
+            out.append((path, "blocked", None))
+            continue
+        if want in claimed or want in held:
+            standing = want in held and want not in claimed
+            if standing and how == "skip":
+                out.append((path, "skipped", None))
                 continue
-            if final in claimed or final in held:
-                if final in held and final not in claimed and how == "skip":
-                    out.append((r.path, "skipped", None))
-                    continue
-                if final in held and final not in claimed and how == "quarantine":
-                    out.append((r.path, "quarantine", f"{paths.QUARANTINE}/{r.path}"))
+            if standing and how == "quarantine":
+                out.append((path, "quarantine", f"{paths.QUARANTINE}/{path}"))
+                continue
+            if standing and how == "replace":
+                kind = "replace"
+                held.discard(want)
+            else:
+                n = untried.get(want, 1)
+                while n <= most and not free(_numbered(want, n)):
+                    if _numbered(want, n) == path:
+                        break
+                    n += 1
+                untried[want] = n
+                own = next((k for k in range(1, min(n, most + 1)) if _numbered(want, k) == path), None) if _same_family(path, want) else None
+                final = path if own else _numbered(want, n) if n <= most else None
+                if final is None:
+                    out.append((path, "blocked", None))
                     continue
-                if final in held and final not in claimed and how == "replace":
-                    kind = "replace"
-                    held.discard(final)
-                else:
-                    final = next((c for n in range(1, NUMBERS + 1) if (c := _numbered(r.want, n)) == r.path or c not in claimed and c not in held and c not in folders), None)
-                    if final is None:
-                        out.append((r.path, "blocked", None))
-                        continue
-            claimed.add(final)
-            out.append((r.path, "already_there" if final == r.path else kind, final))
-        return pd.DataFrame(out, columns=["path", "kind", "final"])
-
-    return rows.groupBy("family").applyInPandas(give, "path string, kind string, final string")
+        claimed.add(final)
+        out.append((path, "already_there" if final == path else kind, final))
+    return out
+
+
+def _same_family(path: str, want: str) -> bool:
+    """Whether a path can be a numbered variant of a want."""
+    return path.rpartition("/")[0] == want.rpartition("/")[0] and path.startswith(want.rpartition(".")[0] if "." in want.rpartition("/")[2][1:] else want)
 
 
 def _family(path: Column) -> Column:

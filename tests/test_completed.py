@@ -250,3 +250,44 @@ def test_names_handed_on_in_rings_and_chains(spark):
     assert planner.broken_steps(inventory, made).collect() == []
     after = {r.path for r in planner.replayed(inventory, made).where("not coalesce(is_dir, false)").collect()}
     assert after == {o[2] for o in ops if o[0] == "move"}
+
+
+def one_by_one(movers, held, folders, how, most):
+    """The rule as it is said: each mover tries its want, then all numbers."""
+    held, claimed, out = set(held), set(), {}
+    for path, want in sorted(movers):
+        final, kind = want, "move"
+        if want in folders:
+            out[path] = ("blocked", None)
+            continue
+        if want in held and want not in claimed and how in ("skip", "quarantine"):
+            out[path] = ("skipped", None) if how == "skip" else ("quarantine", f".stowage-quarantine/{path}")
+            continue
+        if want in held and want not in claimed and how == "replace":
+            kind = "replace"
+            held.discard(want)
+        elif want in claimed or want in held:
+            stem, dot, ext = want.rpartition(".")
+            names = [f"{stem}-{n}.{ext}" if dot else f"{want}-{n}" for n in range(1, most + 1)]
+            final = next((c for c in names if c == path or c not in claimed | held | folders), None)
+            if final is None:
+                out[path] = ("blocked", None)
+                continue
+        claimed.add(final)
+        out[path] = ("already_there" if final == path else kind, final)
+    return out
+
+
+@pytest.mark.parametrize("how", ["rename", "skip", "quarantine", "replace"])
+def test_names_against_one_by_one(spark, monkeypatch, how):
+    monkeypatch.setattr(planner, "NUMBERS", 3)
+    chance = random.Random(how)
+    policy = load(f'[folder]\nname = "p"\n[defaults]\non_conflict = "{how}"\n')
+    for _ in range(3):
+        files = sorted({f"{d}{f}" for d in ("d/", "e/", "f/", "g/") for f in ("x.txt", "x-1.txt", "x-2.txt", "y", "y-1", "q.md") if chance.random() < 0.8})
+        wants = {p: chance.choice([None, "d/x.txt", "d/x.txt", "d/y", "d/x-1.txt", "d/q.md", "e", p]) for p in files}
+        decided = spark.createDataFrame(list(wants.items()), "path string, want string")
+        inventory = spark.createDataFrame([(p, False) for p in files] + [("h", True)], "path string, is_dir boolean")
+        got = {r.path: (r.kind, r.final) for r in planner.assign(decided, inventory, policy).collect()}
+        folders = {"h"} | {p.split("/")[0] for p in files}
+        assert got == one_by_one([(p, w) for p, w in wants.items() if w], {p for p, w in wants.items() if not w}, folders, how, 3)
