@@ -101,7 +101,11 @@ def look(mode: str, plan, act) -> str:
 
 def with_rescans(events: DataFrame, errors: DataFrame, roots: DataFrame) -> DataFrame:
     """Events and, for each lost event (ts, and path or null for all), one event in every root that it may concern."""
-    lost = errors.join(roots, F.col("path").isNull() | F.col("path").startswith(F.concat("root", F.lit("/"))) | (F.col("path") == F.col("root")))
+    around = F.explode(F.concat(F.array("path"), paths.ancestors(F.col("path"))))
+    known = errors.where("path is not null").select("ts", around.alias("root")).join(roots.select("root"), "root")
+    # Where nothing is known, an event for each root is the result itself.
+    unknown = errors.where("path is null").select("ts").crossJoin(roots.select("root"))
+    lost = known.unionByName(unknown)
     return events.unionByName(lost.select("root", F.col("root").alias("path"), F.lit("rescan").alias("kind"), "ts"), allowMissingColumns=True)
 
 

@@ -18,6 +18,7 @@ from stowage.plans import layouts
 from stowage.plans.policy import load
 from stowage.sources import connections, exif
 from stowage.sources import inventory as source
+from stowage.streaming import watch
 
 T0 = datetime(2024, 3, 5)
 INVENTORY = "path string, size long, is_dir boolean, mtime timestamp, mime string, now timestamp, exif map<string,string>"
@@ -291,3 +292,12 @@ def test_names_against_one_by_one(spark, monkeypatch, how):
         got = {r.path: (r.kind, r.final) for r in planner.assign(decided, inventory, policy).collect()}
         folders = {"h"} | {p.split("/")[0] for p in files}
         assert got == one_by_one([(p, w) for p, w in wants.items() if w], {p for p, w in wants.items() if not w}, folders, how, 3)
+
+
+def test_lost_events_are_looked_at_again(spark):
+    roots = spark.createDataFrame([("a",), ("a/b",), ("ab",)], "root string")
+    errors = spark.createDataFrame([("a/b/c", T0), ("ab", T0), ("x/y", T0), (None, T0 + timedelta(1))], "path string, ts timestamp")
+    events = spark.createDataFrame([("a", "a/f", "modify", T0)], "root string, path string, kind string, ts timestamp")
+    got = sorted((r.root, r.path, r.kind, r.ts) for r in watch.with_rescans(events, errors, roots).collect())
+    late = T0 + timedelta(1)
+    assert got == sorted([("a", "a/f", "modify", T0), *((r, r, "rescan", T0) for r in ("a", "a/b", "ab")), *((r, r, "rescan", late) for r in ("a", "a/b", "ab"))])
