@@ -301,3 +301,18 @@ def test_lost_events_are_looked_at_again(spark):
     got = sorted((r.root, r.path, r.kind, r.ts) for r in watch.with_rescans(events, errors, roots).collect())
     late = T0 + timedelta(1)
     assert got == sorted([("a", "a/f", "modify", T0), *((r, r, "rescan", T0) for r in ("a", "a/b", "ab")), *((r, r, "rescan", late) for r in ("a", "a/b", "ab"))])
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_copies_never_replace(tmp_path, monkeypatch, links):
+    def refused(*_):
+        raise PermissionError
+
+    if not links:
+        monkeypatch.setattr(executor.os, "link", refused)
+    (tmp_path / "a").write_text("new")
+    executor.copy_verified(str(tmp_path / "a"), str(tmp_path / "c"), "readback")
+    (tmp_path / "b").write_text("old")
+    with pytest.raises(executor.Stale):
+        executor.copy_verified(str(tmp_path / "a"), str(tmp_path / "b"))
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"a": "new", "b": "old", "c": "new"}
