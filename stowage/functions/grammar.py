@@ -101,7 +101,9 @@ def age(now: Column, mtime: Column) -> Column:
 
 
 def cooling(now: Column, mtime: Column, seconds: int) -> Column:
-    """Seconds left, rounded up, before a file has been quiet long enough; null if it has, or its time is unknown."""
+    """Seconds left, rounded up, before a file has been quiet long enough; null if it has, its time is unknown, or none is asked for, whatever its time."""
+    if not seconds:
+        return F.lit(None).cast("long")
     left = F.lit(seconds * 1000) - (F.unix_millis(now) - F.unix_millis(mtime))
     return F.when(left > 0, F.ceil(left / 1000).cast("long"))
 
