@@ -81,17 +81,20 @@ class Interval:
         return ("from-" if self.low_in else "over-") + t
 
 
-def human_bytes(n: Column) -> Column:
+def human_bytes(n: Column, units: tuple[str, ...] = ("KiB", "MiB", "GiB", "TiB")) -> Column:
+    """A size in the largest of ``units`` that it fills, with one digit behind the point and no separators."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1 << (10 * k), F.concat(F.format_number(n / (1 << (10 * k)), 1), F.lit(f" {unit}"))).otherwise(out)
+    for unit in units:
+        size = UNITS[unit.lower()]
+        out = F.when(n >= size, F.concat(F.call_function("format_number", n / size, F.lit("0.0")), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
-def human_age(seconds: Column) -> Column:
+def human_age(seconds: Column, units: tuple[str, ...] = ("m", "h", "d", "w")) -> Column:
+    """An age in the largest of ``units`` that it fills, else in seconds."""
     out = F.concat(seconds.cast("string"), F.lit("s"))
-    for unit, n in (("m", 60), ("h", 3600), ("d", 86400), ("w", 604800)):
-        out = F.when(seconds >= n, F.concat(F.floor(seconds / n).cast("string"), F.lit(unit))).otherwise(out)
+    for unit in units:
+        out = F.when(seconds >= SECONDS[unit], F.concat(F.floor(seconds / SECONDS[unit]).cast("string"), F.lit(unit))).otherwise(out)
     return out
 
 

@@ -25,7 +25,7 @@ def documents(spark, tmp_path):
             con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
             got = catalog.QUERIES[name](spark, str(tmp_path))
             rows = con.execute(f"select {', '.join(got.columns)} from ({catalog.SQL[name]})").fetchall()
-            return sorted(tuple(r) for r in got.collect()), sorted(rows)
+            return sorted((tuple(r) for r in got.collect()), key=repr), sorted(rows, key=repr)
 
         return ask
 
@@ -42,3 +42,16 @@ def test_no_cooldown_holds_no_file_back(spark):
 def test_layouts_move_files_that_are_newer_than_now(documents):
     got, wanted = documents([(k, "x" * k) for k in (1, 2, 3)] + [(k, "abc") for k in (218_880, 218_881, 400_000)])("compare_layouts")
     assert got == wanted and ("by-type", True, 6, 6, 15, 1, 6) in got
+
+
+def test_sizes_and_ages_in_units(spark):
+    sizes = {1023: "1023 B", 1280: "1.2 KiB", 1_024_000: "1000.0 KiB", 1_048_575: "1024.0 KiB", 3 << 29: "1.5 GiB", 1234 << 40: "1234.0 TiB"}
+    ages = {59: "59s", 60: "1m", 3599: "59m", 86_399: "23h", 86_400: "1d", 604_800: "1w"}
+    at = lambda f, keys, *units: [r[0] for r in spark.createDataFrame([(k,) for k in keys], "n long").coalesce(1).select(f(F.col("n"), *units)).collect()]
+    assert at(grammar.human_bytes, sizes) == list(sizes.values()) and at(grammar.human_age, ages) == list(ages.values())
+    assert at(grammar.human_bytes, [3 << 29], ("KiB", "MiB")) == ["1536.0 MiB"] and at(grammar.human_age, [86_399, 90_000], ("d", "w")) == ["86399s", "1d"]
+
+
+def test_shown_sizes_and_ages_of_young_files(documents):
+    got, wanted = documents([(0, "x"), (217_439, None), (217_440, "x" * 1280), (217_441, "x" * 1_024_000), (218_879, "x" * 1_048_575), (218_880, "x" * 1_048_576), (400_000, "")])("display_sizes")
+    assert got == wanted and ("src1/en/217441.txt", "1000.0 KiB", "86340s") in got
