@@ -16,21 +16,24 @@ from stowage.plans import layouts
 AGREE, LOPSIDED, CROWDED, VERY_CROWDED, DATED, THIN, LEAVES, THIN_SHARE = (4, 5), 95, 150, 1000, 90, 2, 8, 75
 #: Words for kinds of files, and the media class that each goes with.
 KIND_WORDS = {"photo": "image", "photos": "image", "pictures": "image", "image": "image", "images": "image", "video": "video", "videos": "video", "movies": "video", "audio": "audio", "music": "audio", "text": "text", "documents": "text"}
+#: Segments that can be years; other numbers are names, even if they are a file's own year.
+YEARS = "^(19|20)[0-9]{2}$|^2100$"
 
 
-def levels(inventory: DataFrame) -> DataFrame:
-    """path, level, segment, guess for every directory above every file: year, month, ext, kind, size or name."""
+def levels(inventory: DataFrame, years: str = YEARS, months_below: str = YEARS) -> DataFrame:
+    """path, level, segment, guess for every directory above every file: year, month, ext, kind, size or name.
+
+    ``years`` matches segments that can be years, ``months_below`` those below which months are looked for.
+    """
     of_name = paths.name(F.col("path"))
     files = inventory.where(~of_name.startswith("."))
     rows = files.select("path", F.year(wall(F.col("mtime"))).alias("year"), F.month(wall(F.col("mtime"))).alias("month"), F.lower(paths.ext(of_name)).alias("ext"), F.split(F.col("mime"), "/")[0].alias("class"), F.posexplode(F.split(paths.parent(F.col("path")), "/")).alias("at", "segment"), F.split(paths.parent(F.col("path")), "/").alias("all"))
     rows = rows.where("segment <> ''")
     before = F.when(F.col("at") > 0, F.get(F.col("all"), F.col("at") - 1))
-    # Only years that dates can have; anything else would not parse.
-    is_year = lambda c: c.rlike("^(19|20)[0-9]{2}$|^2100$")
     word = F.element_at(F.create_map(*[F.lit(x) for k, v in KIND_WORDS.items() for x in (k, v)]), F.lower("segment"))
     guess = (
-        F.when(is_year(F.col("segment")) & (F.col("segment") == F.col("year").cast("string")), "year")
-        .when(F.coalesce(is_year(before), F.lit(False)) & F.col("segment").rlike("^(0[1-9]|1[0-2])$") & (F.col("segment") == F.lpad(F.col("month").cast("string"), 2, "0")), "month")
+        F.when(F.col("segment").rlike(years) & (F.col("segment") == F.col("year").cast("string")), "year")
+        .when(F.coalesce(before.rlike(months_below), F.lit(False)) & F.col("segment").rlike("^(0[1-9]|1[0-2])$") & (F.col("segment") == F.lpad(F.col("month").cast("string"), 2, "0")), "month")
         .when((F.lower("segment") == F.col("ext")) & (F.col("ext") != ""), "ext")
         .when(F.coalesce(word == F.col("class"), F.lit(False)), "kind")
         .when(F.lower("segment").rlike("^(under|over|from|up-to)-[0-9.]+ ?([kmgt]i?b?)?$"), "size")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stowage import catalog
 from stowage.functions import grammar
+from stowage.operators import learn
 
 
 @pytest.fixture
@@ -55,3 +56,18 @@ def test_sizes_and_ages_in_units(spark):
 def test_shown_sizes_and_ages_of_young_files(documents):
     got, wanted = documents([(0, "x"), (217_439, None), (217_440, "x" * 1280), (217_441, "x" * 1_024_000), (218_879, "x" * 1_048_575), (218_880, "x" * 1_048_576), (400_000, "")])("display_sizes")
     assert got == wanted and ("src1/en/217441.txt", "1000.0 KiB", "86340s") in got
+
+
+#: Rows whose years are 2014, 2099 to 2101 and 10000 and later.
+FAR = [(k, "x") for k in (*range(9), *range(67_030, 67_040), *range(67_850, 67_860), *range(68_700, 68_800), *range(6_300_400, 6_300_420))]
+
+
+def test_levels_of_far_years(documents):
+    got, wanted = documents(FAR)("learn_levels")
+    assert got == wanted and {guess for level, guess, _ in got if level == 1} == {"year", "name"}
+
+
+def test_learn_keeps_its_years(spark):
+    rows = [(f"{y}/05/f.txt", datetime(y, 5, 3), "text/plain") for y in (1899, 1900, 2100, 2101)]
+    found = learn.levels(spark.createDataFrame(rows, "path string, mtime timestamp, mime string"))
+    assert [tuple(r) for r in found.orderBy("path", "level").select("guess").collect()] == [(g,) for g in ("name", "name", "year", "month", "year", "month", "name", "name")]
