@@ -48,9 +48,9 @@ def depth_mode(inventory: DataFrame) -> DataFrame:
     return counts.agg(F.max(F.struct("files", "depth")).alias("m")).select("m.depth", "m.files")
 
 
-def settled_levels(inventory: DataFrame) -> DataFrame:
-    """level, meaning, agree, of: what each level means, if four in five of its files agree; else named."""
-    tally = levels(inventory).groupBy("level", "guess").agg(F.count(F.lit(1)).alias("n"))
+def settled_levels(inventory: DataFrame, years: str = YEARS, months_below: str = YEARS) -> DataFrame:
+    """level, meaning, agree, of: what each level means, if four in five of its files agree; else named. Years and months as for ``levels``."""
+    tally = levels(inventory, years, months_below).groupBy("level", "guess").agg(F.count(F.lit(1)).alias("n"))
     best = tally.groupBy("level").agg(F.max(F.struct("n", "guess")).alias("best"), F.sum("n").alias("of"))
     wins = F.col("best.n") * AGREE[1] >= F.col("of") * AGREE[0]
     return best.select("level", F.when(wins & (F.col("best.guess") != "name"), F.col("best.guess")).otherwise("named").alias("meaning"), F.col("best.n").alias("agree"), "of")

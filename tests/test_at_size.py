@@ -67,6 +67,11 @@ def test_levels_of_far_years(documents):
     assert got == wanted and {guess for level, guess, _ in got if level == 1} == {"year", "name"}
 
 
+def test_settled_far_years(documents):
+    got, wanted = documents(FAR)("learn_settled")
+    assert got == wanted and [row[1] for row in got if row[0] == 1] == ["year"]
+
+
 def test_learn_keeps_its_years(spark):
     rows = [(f"{y}/05/f.txt", datetime(y, 5, 3), "text/plain") for y in (1899, 1900, 2100, 2101)]
     found = learn.levels(spark.createDataFrame(rows, "path string, mtime timestamp, mime string"))
